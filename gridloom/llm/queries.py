@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import dialogue, language_id, secrets
+from gridloom.llm import decontaminate, dialogue, language_id, packing, secrets
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op2_dialogue_perspectives": dialogue.op2_dialogue_perspectives,
     "op7_language_id": language_id.op7_language_id,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
-ORACLE_SQL = {"op2_dialogue_perspectives": dialogue.SQL}
+ORACLE_SQL = {"op2_dialogue_perspectives": dialogue.SQL, "op8_decontaminate": decontaminate.SQL}
