@@ -52,11 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def key_of(doc_id: Column, text: Column) -> list[Column]:
-    """A document's key in joins: its id (null: the least long) and a hash of its text.
+    """A document's key in joins: its id (null: a negative number made from its text) and a hash of its text.
 
     Rows that repeat both are one document to every operator and get the same result.
     """
-    return [F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")]
+    th = F.xxhash64(F.coalesce(text, F.lit("")))
+    return [F.coalesce(doc_id.cast("long"), -F.pmod(th, F.lit(2**62)) - 1).alias("d"), th.alias("th")]
 
 
 def components(edges: DataFrame) -> DataFrame:
