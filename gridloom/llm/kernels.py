@@ -120,3 +120,29 @@ def shingles(texts: list[str], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
         total += hashes[i : len(hashes) - n + 1 + i] * up[i + 1]
     keep = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], count)
     return mix(total[keep]), at
+
+
+def links_of(linked: np.ndarray, left: np.ndarray, right: np.ndarray, ids: np.ndarray, count: np.ndarray, same: bool) -> list[tuple[int, int, int]]:
+    """(id, least id reached by links in here, rows linked directly) of each that has a link.
+
+    linked: of places `left` (rows) to places `right` (columns) of ids, all or two disjoint blocks;
+    count: the rows that each id stands for.
+    """
+    if same:
+        np.fill_diagonal(linked, False)
+    if not linked.any():
+        return []
+    rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    while True:
+        after = rank.copy()
+        after[left] = np.minimum(after[left], np.where(linked, rank[right][None], len(ids)).min(axis=1))
+        after[right] = np.minimum(after[right], np.where(linked, after[left][:, None], len(ids)).min(axis=0))
+        if (after == rank).all():
+            break
+        rank = after
+    total = np.zeros(len(ids), dtype=np.int64)
+    total[left] += linked @ count[right]
+    if not same:
+        total[right] += linked.T @ count[left]
+    by_rank = np.sort(ids)
+    return [(int(ids[i]), int(by_rank[rank[i]]), int(total[i])) for i in np.flatnonzero(total)]
