@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, dialogue, language_id, packing, secrets
+from gridloom.llm import decontaminate, dialogue, embedding_join, jaccard_join, language_id, line_dedup, packing, secrets
 
 QUERIES = {
-    "op3_best_fit_packing": packing.op3_best_fit_packing,
-    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_dialogue_perspectives": dialogue.op2_dialogue_perspectives,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
+    "op6_embedding_near_dedup": embedding_join.op6_embedding_near_dedup,
     "op7_language_id": language_id.op7_language_id,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
-ORACLE_SQL = {"op2_dialogue_perspectives": dialogue.SQL, "op8_decontaminate": decontaminate.SQL}
+ORACLE_SQL = {
+    "op2_dialogue_perspectives": dialogue.SQL,
+    "op4_ngram_jaccard_join": jaccard_join.SQL,
+    "op6_embedding_near_dedup": embedding_join.SQL,
+    "op8_decontaminate": decontaminate.SQL,
+}
