@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, dialogue, embedding_join, jaccard_join, language_id, line_dedup, packing, secrets
+from gridloom.llm import decontaminate, dialogue, embedding_join, jaccard_join, language_id, line_dedup, packing, secrets, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_embedding_near_dedup": embedding_join.op6_embedding_near_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
