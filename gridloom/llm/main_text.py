@@ -297,7 +297,8 @@ def article(root: Node, skip: set[int]) -> Node:
         total = size(at, skip)
         kids = [c for c in structural(at) if not c.out and id(c) not in skip and c.tag not in ("p", "ul", "ol", "table", "blockquote", "pre") and c.items]
         largest = max(kids, key=lambda c: size(c, skip), default=None)
-        if largest is None or not total or size(largest, skip) < 0.6 * total:
+        bare = any(isinstance(c, str) and c.strip() for c in at.items)  # text of its own: it is no mere container
+        if largest is None or not total or bare or size(largest, skip) < 0.6 * total:
             return at
         at = largest
 
@@ -311,7 +312,7 @@ def skeletons(pages: DataFrame) -> DataFrame:
             for host, page_id, page in zip(pdf["host"], pdf["page_id"].astype("Int64"), pdf["html"]):
                 tree, members = outline(parse(page if isinstance(page, str) else ""))
                 texts = digests_of(members)
-                rows.append((host, page_id, repr(tree), texts, texts[0]))
+                rows.append((host, page_id, written(tree), texts, texts[0]))
             yield pd.DataFrame(rows, columns=["host", "page_id", "outline", "digests", "whole"]).astype({"page_id": "Int64"})
 
     return pages.select("host", "page_id", "html").mapInPandas(run, "host string, page_id long, outline string, digests array<long>, whole long")
@@ -323,11 +324,30 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
+def written(tree: tuple, depth: int = 0) -> str:
+    """An outline as text: each node's depth and name, in preorder."""
+    return " ".join([f"{depth}:{tree[0]}", *(written(k, depth + 1) for k in tree[1])])
+
+
 @lru_cache(maxsize=4096)
 def read_outline(text: str) -> tuple:
-    import ast
-
-    return ast.literal_eval(text)
+    stack: list[tuple[str, list]] = []
+    for item in text.split(" "):
+        depth, _, name_ = item.partition(":")
+        close(stack, int(depth))
+        stack.append((name_, []))
+    return close(stack, 0)
+
+
+def close(stack: list[tuple[str, list]], depth: int) -> tuple:
+    """Ends the nodes at this depth and below; the last of them, whole."""
+    done: tuple = ()
+    while len(stack) > depth:
+        name_, kids = stack.pop()
+        done = (name_, tuple(kids))
+        if stack:
+            stack[-1][1].append(done)
+    return done
 
 
 def templates(pages: DataFrame, constant: float = 0.8, least_pages: int = 5) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, dialogue, embedding_join, jaccard_join, language_id, line_dedup, packing, secrets, substring_dedup
+from gridloom.llm import decontaminate, dialogue, embedding_join, jaccard_join, language_id, line_dedup, main_text, packing, secrets, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_dialogue_perspectives": dialogue.op2_dialogue_perspectives,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
+    "op5_main_text": main_text.op5_main_text,
     "op6_embedding_near_dedup": embedding_join.op6_embedding_near_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_decontaminate": decontaminate.op8_decontaminate,
@@ -19,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_dialogue_perspectives": dialogue.SQL,
     "op4_ngram_jaccard_join": jaccard_join.SQL,
+    "op5_main_text": main_text.op5_main_text,
     "op6_embedding_near_dedup": embedding_join.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
