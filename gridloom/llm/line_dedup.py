@@ -179,3 +179,23 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cols = docs.columns
     left = dedup(docs)
     return left.where((F.size("removed_lines") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")).select(*cols)
+
+
+SQL = r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, i, line, len(line) - len(replace(line, ' ', '')) + 1 AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)
+), t AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM l),
+runs AS MATERIALIZED (
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM t AS a JOIN t AS b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= 50 GROUP BY a.doc_id, a.i
+  UNION
+  SELECT b.doc_id, max(a.i), b.i FROM t AS a JOIN t AS b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= 50 GROUP BY b.doc_id, b.i
+), whole AS (SELECT doc_id, list(rtrim(line, ' ') ORDER BY i) AS lines FROM l GROUP BY doc_id),
+keyed AS MATERIALIZED (SELECT doc_id, s, e, array_to_string(lines[s + 1 : e + 1], chr(10)) AS k FROM runs JOIN whole USING (doc_id)),
+later AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM keyed) WHERE n > 1),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM later),
+islands AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone) GROUP BY doc_id, g),
+spans AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) AS removed FROM islands GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents AS d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
     "op2_dialogue_perspectives": dialogue.SQL,
     "op4_ngram_jaccard_join": jaccard_join.SQL,
     "op5_main_text": main_text.op5_main_text,

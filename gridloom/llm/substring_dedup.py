@@ -232,3 +232,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = removed(util.table(spark, sf_dir, "documents"))
     return found.mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+SQL = """
+WITH h AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, hash(substring(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 399)) AS i FROM h WHERE len(x) >= 800)),
+c AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER d > 400 THEN 1 ELSE 0 END AS new FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM n),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, g),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT p.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substring(x, 2 * m + 1)) AS kept
+      FROM p JOIN h USING (doc_id) JOIN (SELECT doc_id, max(b) AS m FROM s GROUP BY doc_id) USING (doc_id) GROUP BY p.doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""
