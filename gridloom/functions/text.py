@@ -110,3 +110,15 @@ def reply_json(c: Column) -> Column:
 
 def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat(*[p.cast("binary") for p in parts]), 256)
+
+
+def similar(a: Column, b: Column) -> Column:
+    """The same first six letters and digits, of which there are some."""
+    x, y = F.substring(norm(a), 1, 6), F.substring(norm(b), 1, 6)
+    return (x != "") & (x == y)
+
+
+def like_header(first: Column) -> Column:
+    """Whether a row with this first cell looks like a header: neither blank nor a number."""
+    t = strict(first)
+    return (t != "") & ~t.rlike(f"^{DIGIT}+$")

@@ -69,3 +69,11 @@ def lines_by_first(df: DataFrame, keys: list[str], tol: float) -> DataFrame:
         return pdf.assign(place=range(len(pdf)))
 
     return df.groupBy(*keys).applyInPandas(page, schema)
+
+
+def uniform_bands(centre: DataFrame, keys: list[str], low: float = 0.55, high: float = 1.7) -> DataFrame:
+    """(keys, ri, top, bottom): neighbouring centres whose distance is within these shares of the median distance, both ends included."""
+    w = Window.partitionBy(*keys).orderBy("ri")
+    gaps = centre.withColumns({"bottom": F.lead("cy").over(w), "gap": F.lead("cy").over(w) - F.col("cy")}).where("gap is not null")
+    middle = gaps.groupBy(*keys).agg(F.median("gap").alias("m"))
+    return gaps.join(middle, keys).where((F.col("gap") >= low * F.col("m")) & (F.col("gap") <= high * F.col("m"))).select(*keys, "ri", F.col("cy").alias("top"), "bottom")

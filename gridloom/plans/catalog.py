@@ -13,6 +13,8 @@ from gridloom.operators import annotation, cache, cluster, ditto, forms, identit
 from gridloom.plans import duck as D
 from gridloom.plans import lenses as L
 from gridloom.plans import specs
+from gridloom.plans import process
+from gridloom.sinks import sheets
 from gridloom.streaming import sessions
 
 QUERIES: dict = {}
@@ -616,6 +618,93 @@ def stream_row_sessions(spark, sf):
     return sessions.by_gap(L.words(spark, sf))
 
 
+# Sheets, bands and replies
+
+
+def _header_rows() -> list[tuple]:
+    rows = []
+    for kind in specs.KINDS:
+        high, at = specs.HEADER_ROWS[kind], 0
+        for label, group, _ in specs.leaves(kind):
+            if group:
+                rows.append((kind, 1, at, 1, 1, label))
+            else:
+                rows.append((kind, 0, at, high, 1, label))
+            at += 1
+        for group in dict.fromkeys(g for _, g, _ in specs.leaves(kind) if g):
+            under = [i for i, (_, g, _) in enumerate(specs.leaves(kind)) if g == group]
+            rows.append((kind, 0, under[0], 1, len(under), group))
+        rows += [(kind, high, i, 1, 1, str(n)) for i, n in enumerate(specs.GRAPH_NUMBERS.get(kind, ()))]
+    return rows
+
+
+@query("SELECT * FROM " + D.values(_header_rows(), "h(kind, r, c, rs, cs, text)"))
+def sheet_header_merges(spark, sf):
+    return sheets.header_cells(spark)
+
+
+@query(f"""WITH {L.ENGINES}, d AS (SELECT 's' || CAST(table_id AS VARCHAR) AS sheet, r, c, max(q) AS text, min(y_conf) AS conf FROM engines GROUP BY table_id, r, c),
+up AS (SELECT DISTINCT sheet FROM d WHERE r = 0 AND c = 0 AND {D.strict('text')} <> '' AND NOT regexp_matches({D.strict('text')}, '^[{D.DIGIT}]+$'))
+SELECT sheet, r - CASE WHEN up.sheet IS NULL THEN 0 ELSE 1 END + 3 AS r, c, text, CASE WHEN conf < 0.55 THEN 'orange' WHEN {D.ditto('text')} THEN 'yellow' END AS fill FROM d LEFT JOIN up USING (sheet) WHERE NOT (up.sheet IS NOT NULL AND r = 0)
+UNION ALL SELECT t.sheet, h.r, h.c, h.text, NULL FROM (SELECT DISTINCT sheet FROM d) AS t CROSS JOIN (SELECT * FROM {D.values(_header_rows(), 'h(kind, r, c, rs, cs, text)')} WHERE kind = 'journal_left') AS h""")
+def sheet_cells_freeform(spark, sf):
+    e = L.engines(spark, sf).groupBy("table_id", "r", "c").agg(F.max("q").alias("text"), F.min("y_conf").alias("conf"))
+    cells = e.select(F.concat(F.lit("s"), F.col("table_id").cast("string")).alias("sheet"), F.lit("journal_left").alias("kind"), "r", "c", "text", "conf")
+    return sheets.sheet_cells(cells, sheets.header_cells(spark)).select("sheet", "r", "c", "text", "fill")
+
+
+@query(f"""WITH {CLUSTERS}, p AS (SELECT *, lead(cy) OVER (PARTITION BY table_id ORDER BY ri) - cy AS gap FROM centres), m AS (SELECT table_id, median(gap) AS m FROM p GROUP BY table_id)
+SELECT table_id, ri FROM p JOIN m USING (table_id) WHERE gap >= 0.55::DOUBLE * m AND gap <= 1.7::DOUBLE * m""")
+def uniform_row_bands(spark, sf):
+    return cluster.uniform_bands(cluster.centres(grouped(spark, sf), ["table_id"], "y"), ["table_id"]).select("table_id", "ri")
+
+
+@query(f"WITH {L.LINES}, n AS (SELECT doc_id, r, substring({D.norm('line')}, 1, 6) AS x, substring({D.norm('lag(line) OVER (PARTITION BY doc_id ORDER BY r)')}, 1, 6) AS y FROM lines) SELECT doc_id, r, x <> '' AND x = y AS similar FROM n")
+def similar_prefix(spark, sf):
+    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("r"))
+    return L.lines(spark, sf).withColumn("before", before).select("doc_id", "r", X.similar(F.col("line"), F.col("before")).alias("similar"))
+
+
+@query(f"WITH {L.LINES} SELECT doc_id, r, ({D.strict('line')} <> '' AND NOT regexp_matches({D.strict('line')}, '^[{D.DIGIT}]+$')) AS header FROM lines")
+def header_like_row(spark, sf):
+    return L.lines(spark, sf).select("doc_id", "r", X.like_header(F.col("line")).alias("header"))
+
+
+@query("""WITH k AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id AS table_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, CASE WHEN r = 0 AND c = 0 THEN k WHEN r = 0 AND c = 2 THEN 'x' WHEN r = 1 AND c < 3 THEN 'v' || CAST(c AS VARCHAR) ELSE '' END AS q, r = 1 AND c = 2 AND event_id % 2 = 0 AS low
+FROM k, range(2) AS t(r), range(3) AS u(c)""")
+def layout_reply_cells(spark, sf):
+    e = L.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    low = F.when(F.col("event_id") % 2 == 0, F.lit("[[1, 2], [9, 9]]")).otherwise(F.lit("[]"))
+    reply = F.concat(F.lit('```json\n{"rows": [["'), F.col("k"), F.lit('", null, "x"], ["v0", "v1", "v2", "cut"]], "low_conf": '), low, F.lit("}\n```"))
+    return process.reply_cells(e.select(F.col("event_id").alias("table_id"), reply.alias("reply")), "kontrol")
+
+
+@query("""WITH b AS (SELECT event_id, event_id % 50 AS x0, event_id % 70 AS y0, event_id % 50 + event_id % 9 - 3 AS x1, event_id % 70 + event_id % 11 - 2 AS y1 FROM events)
+SELECT event_id, x1 - x0 AS w, y1 - y0 AS h, greatest(0, x1 - x0) * greatest(0, y1 - y0) AS area FROM b""")
+def box_area(spark, sf):
+    n = F.col("event_id")
+    w, h = n % 9 - 3, n % 11 - 2
+    return L.table(spark, sf, "events").select("event_id", w.alias("w"), h.alias("h"), (F.greatest(F.lit(0), w) * F.greatest(F.lit(0), h)).alias("area"))
+
+
+LEAF_ROWS = [(k, i, f"{g} — {label}" if g else label, len(specs.leaves(k)), sum(w for _, _, w in specs.leaves(k))) for k in specs.KINDS for i, (label, g, _) in enumerate(specs.leaves(k))]
+
+
+@query("SELECT * FROM " + D.values(LEAF_ROWS, "l(kind, ci, label, ncols, width)"))
+def leaf_labels(spark, sf):
+    whole = Window.partitionBy("kind")
+    label = F.concat_ws(" — ", "group_label", "label")
+    return layout.spec_columns(spark).select("kind", "ci", label.alias("label"), F.count(F.lit(1)).over(whole).alias("ncols"), F.sum("width").over(whole).alias("width"))
+
+
+@query("SELECT event_type AS text, count(*) AS n, round(avg(CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id % 100) / 100 END), 9) AS conf FROM events GROUP BY event_type")
+def mean_confidence(spark, sf):
+    n = F.col("event_id")
+    conf = F.when(n % 4 != 0, (n % 100) / 100)
+    return L.table(spark, sf, "events").groupBy(F.col("event_type").alias("text")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(conf), 9).alias("conf"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
