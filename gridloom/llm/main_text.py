@@ -11,8 +11,8 @@ the text parts. Inside it, template nodes and what an element's name, role, clas
 header, footer, sidebar, notice, advert, form or readers' comments are left out, and all else is kept:
 blocks in page order, white space inside each as one space. A line break is white space; a table row is a block.
 
-Per host, only the reference's outline and its template nodes are kept. They are sent to all
-executors while hosts are at most `most_hosts`, and joined by host beyond.
+Per host, only the reference's outline and its template nodes are kept, of hosts that have any. They are sent to
+all executors while they are at most `most_bytes` together, and joined by host beyond.
 
 Edge cases: null, empty or broken html gives whatever text it has, maybe none; a null url is a host of its
 own; unclosed elements end where HTML lets them, or with the page; repeated rows get the same text; other columns are ignored.
@@ -386,7 +386,7 @@ def extract(page: str, outline_: str | None, digests, nodes) -> str:
     return "\n".join(blocks(article(root, skip), skip))
 
 
-def main_text(pages: DataFrame, most_hosts: int = 20_000) -> DataFrame:
+def main_text(pages: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """(page_id, url, text) of each page."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
@@ -402,7 +402,8 @@ def main_text(pages: DataFrame, most_hosts: int = 20_000) -> DataFrame:
             texts = [extract(page if isinstance(page, str) else "", *r) for page, r in zip(pdf["html"], rows)]
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts})
 
-    if known.count() <= most_hosts:
+    size = F.sum(F.length("host") + F.length("outline") + 8 * F.size("ref_digests"))
+    if (known.agg(size).first()[0] or 0) <= most_bytes:
         of = {r["host"]: (r["outline"], tuple(r["ref_digests"]), tuple(r["nodes"])) for r in known.toLocalIterator()}
         return hosted.mapInPandas(lambda batches: run(batches, of), schema)
     joined = hosted.join(known, "host", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<int>")))

@@ -210,8 +210,8 @@ def test_template_is_learned_from_the_host(spark):
     page = lambda i: f"<html><body><div><p>Welcome to our site</p></div><div><section><p>{prose(i, 30)}</p><p>{prose(i + 50, 30)}</p></section><section><h5>All rights reserved, really</h5></section></div></body></html>"
     rows = [(i, f"https://a.example/{i}", page(i)) for i in range(8)] + [(100 + i, f"https://b.example/{i}", "<body><div><p>mirrored words</p></div></body>") for i in range(8)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for most in (10, 0):  # templates sent to all executors, and joined by host
-        got = {r["page_id"]: r["text"] for r in main_text.main_text(df, most_hosts=most).collect()}
+    for most in (10_000, 0):  # templates sent to all executors, and joined by host
+        got = {r["page_id"]: r["text"] for r in main_text.main_text(df, most_bytes=most).collect()}
         for i in range(8):
             assert got[i] == " ".join(prose(i, 30).split()) + "\n" + " ".join(prose(i + 50, 30).split())
             assert got[100 + i] == "mirrored words"
