@@ -4,8 +4,9 @@ Sets are embedded as MinHash values, of which two sets share each with the proba
 similarity. A run splits all sets along a path of sampled values: sets that agree in the first
 `DEPTH` of them share a bucket; a bucket of more than `most` sets is split on further values of the path, up
 to `DEEPEST`. Runs are repeated until a pair at the threshold is found with probability
-`recall` (14 runs for 0.9999 at 0.8). Buckets are joined to their least member, so the pairs to look at are
-those inside connected parts, which hold every pair that shares a bucket.
+`recall` (14 runs for 0.9999 at 0.8). Inside a small bucket all pairs are compared by all their MinHash values, and those
+that may reach the threshold are joined; what shares the whole path in a larger bucket is joined to its least
+member. The pairs to look at are those inside connected parts, which hold every pair so found.
 
 Each part is then solved exactly, by block pairs of bounded size: intersections of all its sets come
 from products of incidence matrices, so links are counted one by one but never emitted.
@@ -59,10 +60,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, runs: int) -> DataFrame:
-    """(d, th, n, h1, h2, paths array<array<long>>): the set's size and digest, and a bucket for each run and depth."""
+    """(d, th, n, h1, h2, paths array<array<long>>, sketch): the set's size and digest, a bucket for each run and depth, and 16 bits of each MinHash value."""
     depths = DEEPEST - DEPTH + 1
     seeds = np.random.default_rng(4).integers(1, 2**63, runs * DEEPEST, dtype=np.uint64) | np.uint64(1)
-    schema = "d long, th long, n long, h1 long, h2 long, paths array<array<long>>"
+    schema = "d long, th long, n long, h1 long, h2 long, paths array<array<long>>, sketch binary"
 
     def run(batches):
         for pdf in batches:
@@ -77,6 +78,7 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
                 h1 = np.add.reduceat(kernels.mix(data), at)
                 h2 = np.add.reduceat(kernels.mix(data ^ np.uint64(0x5851F42D4C957F2D)), at)
                 least = [np.minimum.reduceat(data * s, at) for s in seeds]
+                sketch = (kernels.mix(np.stack(least, axis=1)) >> np.uint64(48)).astype(np.uint16)
                 paths = np.zeros((len(full), runs, depths), dtype=np.int64)
                 for r in range(runs):
                     key = np.full(len(full), r + 1, dtype=np.uint64)
@@ -85,27 +87,52 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
                         if depth >= DEPTH - 1:
                             paths[:, r, depth - DEPTH + 1] = key.view(np.int64)
                 part = pdf.iloc[first : first + len(texts)].iloc[full]
-                yield pd.DataFrame({"d": part["d"].to_numpy(), "th": part["th"].to_numpy(), "n": size[full], "h1": _signed(h1), "h2": _signed(h2), "paths": [list(p) for p in paths]})
+                yield pd.DataFrame({"d": part["d"].to_numpy(), "th": part["th"].to_numpy(), "n": size[full], "h1": _signed(h1), "h2": _signed(h2), "paths": [list(p) for p in paths], "sketch": [r.tobytes() for r in sketch]})
 
     return docs.select(*util.key_of(F.col("doc_id"), F.col("text")), "text").mapInPandas(run, schema)
 
 
-def _bucket_edges(nodes: DataFrame, most: int) -> DataFrame:
-    """(u, v): members of each bucket joined to its least."""
-    at = nodes.select("d", F.explode("paths").alias("path"))
-    edges = None
+def _bucket_edges(nodes: DataFrame, most: int, similarity: float, hashes: int) -> DataFrame:
+    """(u, v): members of each small bucket that may be similar, and of each bucket that stays large and its least member."""
+    least = similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / hashes)  # a pair at the threshold is below it about three times in 10 ** 6
+
+    def compare(batches):
+        at, rows = None, []
+
+        def done():
+            ids = np.array([r[0] for r in rows])
+            sketch = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint16).reshape(len(rows), -1)
+            alike = np.stack([(sketch == one).mean(axis=1) >= least for one in sketch])
+            found = kernels.links_of(alike, np.arange(len(ids)), np.arange(len(ids)), ids, np.ones(len(ids), dtype=np.int64), True)
+            return [(u, v) for u, v, _ in found if u != v]
+
+        for pdf in batches:
+            out = []
+            for key, d, sketch in zip(pdf["key"], pdf["d"], pdf["sketch"]):
+                if key != at:
+                    out += done() if len(rows) > 1 else []
+                    at, rows = key, []
+                rows.append((d, sketch))
+            yield pd.DataFrame(out, columns=["u", "v"])
+        if len(rows) > 1:
+            yield pd.DataFrame(done(), columns=["u", "v"])
+
+    at, small, edges = nodes.select("d", F.explode("paths").alias("path")), None, None
     for depth in range(DEEPEST - DEPTH + 1):
         key = F.col("path")[depth].alias("key")
-        size = at.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("v")).where("size > 1")
-        last = depth == DEEPEST - DEPTH
+        size = at.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("v")).where("size > 1").hint("rebalance")
         both = at.withColumn("key", F.col("path")[depth]).join(size, "key")
-        new = both.where("d <> v" if last else f"size <= {most} and d <> v").select(F.col("d").alias("u"), "v")
-        edges = new if edges is None else edges.unionAll(new)
-        if not last:
+        new = both.where(f"size <= {most}").select("d", "key")
+        small = new if small is None else small.unionAll(new)
+        if depth == DEEPEST - DEPTH:
+            edges = both.where(f"size > {most} and d <> v").select(F.col("d").alias("u"), "v")
+        else:
             at = util.stash(both.where(f"size > {most}").select("d", "path"))
             if at.isEmpty():
                 break
-    return edges
+    dealt = small.join(nodes.select("d", "sketch").dropDuplicates(["d"]), "d").repartition("key").sortWithinPartitions("key")
+    found = dealt.select("key", "d", "sketch").mapInPandas(compare, "u long, v long")
+    return found if edges is None else found.unionAll(edges)
 
 
 def links_within(ids: np.ndarray, count: np.ndarray, block: np.ndarray, each: list[np.ndarray], least: float, same: bool) -> list[tuple[int, int, int]]:
@@ -135,12 +162,13 @@ def links_within(ids: np.ndarray, count: np.ndarray, block: np.ndarray, each: li
 
 def classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, most: int = 60) -> DataFrame:
     """(d, th, class_id, n_links) of each document with words, by key; the class is named by its least id."""
-    own = util.stash(sketches(docs, runs_for(recall, similarity)))
-    of_set = own.groupBy("h1", "h2", "n").agg(F.min("d").alias("m"), F.count(F.lit(1)).alias("copies"))
+    runs = runs_for(recall, similarity)
+    own = util.stash(sketches(docs, runs))
+    of_set = own.groupBy("h1", "h2", "n").agg(F.min("d").alias("m"), F.count(F.lit(1)).alias("copies")).hint("rebalance")  # dealt anew, so that the join can split a hot set
     member = util.stash(own.select("d", "th", "n", "h1", "h2").join(of_set, ["h1", "h2", "n"]).select("d", "th", "m", "copies"))
-    nodes = own.select("d", "th", "paths").join(member.where("d = m").select("d", "th").distinct(), ["d", "th"], "left_semi")
+    nodes = own.select("d", "th", "paths", "sketch").join(member.where("d = m").select("d", "th").distinct(), ["d", "th"], "left_semi")
 
-    part = util.stash(util.components(_bucket_edges(nodes, most)).withColumnsRenamed({"id": "d", "component": "part"}).distinct())
+    part = util.stash(util.components(_bucket_edges(nodes, most, similarity, runs * DEEPEST)).withColumnsRenamed({"id": "d", "component": "part"}).distinct())
     blocks = part.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     todo = member.where("d = m").distinct().join(part, "d").join(blocks, "part").select("d", "th", "copies", "part", "blocks")
     key_d, key_th = util.key_of(F.col("doc_id"), F.col("text"))
