@@ -138,13 +138,14 @@ def covered_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
                 yield pd.DataFrame({"d": of["d"].to_numpy()[doc], "th": of["th"].to_numpy()[doc], **found})
 
     every = util.stash(texts.mapInPandas(cut, "d long, th long, anchor long, start long, end long, fp long, c1 long, c2 long"))
-    shared = every.groupBy("fp").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("c1", "c2")).alias("lo"), F.max(F.struct("c1", "c2")).alias("hi")).where("seen > 1")
-    several = util.stash(every.join(shared.select("fp", (F.col("lo") != F.col("hi")).alias("differ")), "fp"))
+    shared = every.groupBy("fp").agg(F.count(F.lit(1)).alias("seen"), (F.min("c1") != F.max("c1")).alias("d1"), (F.min("c2") != F.max("c2")).alias("d2")).where("seen > 1")
+    # The hint deals the counts out anew, so that the join can split an anchor that a third of all pieces share.
+    several = util.stash(every.join(shared.select("fp", F.expr("d1 or d2").alias("differ")).hint("rebalance"), "fp"))
     contents = several.groupBy("fp", "c1", "c2", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "th", "start", "end", "anchor")).alias("one"))
-    whole = several.join(contents.where("n > 1").select("fp", "c1", "c2"), ["fp", "c1", "c2"]).select("d", "th", "start", "end")
+    whole = several.join(contents.where("n > 1").select("fp", "c1", "c2").hint("rebalance"), ["fp", "c1", "c2"]).select("d", "th", "start", "end")
 
     differing = util.stash(contents.where("differ").select("fp", "c1", "c2", "n", "one.*"))
-    many = differing.groupBy("fp").agg((F.count(F.lit(1)) > most).alias("many"))
+    many = differing.groupBy("fp").agg((F.count(F.lit(1)) > most).alias("many")).hint("rebalance")
     wanted = differing.join(many, "fp").groupBy("d", "th").agg(F.collect_list(F.struct("fp", "n", "start", "end", "anchor", "many")).alias("wanted"))
 
     def fetch(batches):
@@ -192,7 +193,7 @@ def covered_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
                 yield pd.DataFrame({"d": r.d, "th": r.th, "start": r.start + at, "end": r.start + at + width, "w1": one.view(np.int64), "w2": two.view(np.int64)})
 
     each = gathered.where("many").mapInPandas(windows, "d long, th long, start long, end long, w1 long, w2 long")
-    twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("rebalance")
     hot = each.join(twice, ["w1", "w2"]).select("d", "th", "start", "end")
     return whole.unionAll(rims).unionAll(hot)
 
