@@ -42,7 +42,7 @@ def _ids(lines: DataFrame) -> DataFrame:
 
 def _sequences(lines: DataFrame) -> DataFrame:
     """(d, th, a) of each document with repeated lines, a its array of (pos, words, rank) in order."""
-    repeated = lines.join(_ids(lines), ["h1", "h2"]).select("d", "th", "pos", "words", "rank").distinct()
+    repeated = lines.join(_ids(lines).hint("rebalance"), ["h1", "h2"]).select("d", "th", "pos", "words", "rank").distinct()
     return repeated.groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "words", "rank"))).alias("a"))
 
 
@@ -81,7 +81,7 @@ def _double(docs: DataFrame, k: int) -> DataFrame:
     whole = pairs.where("r > 0 and s > 0")
     seen = whole.groupBy("r", "s").agg(F.count(F.lit(1)).alias("n"))
     ranked = seen.select(F.col("r").alias("r_"), F.col("s").alias("s_"), (F.col("r") + F.sum("n").over(Window.partitionBy("r").orderBy("s")) - F.col("n")).alias("new"))
-    named = whole.join(ranked, (F.col("r") == F.col("r_")) & (F.col("s") == F.col("s_")))
+    named = whole.join(ranked.hint("rebalance"), (F.col("r") == F.col("r_")) & (F.col("s") == F.col("s_")))
     back = named.groupBy("d", "th").agg(F.collect_list(F.struct("i", "new")).alias("found"))
 
     def fill(batches):
@@ -126,7 +126,7 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     named = at.mapInPandas(prefixes, "d long, th long, pos long, n long, a long, b long")
     own = F.struct("d", "th", "pos")
-    first = named.groupBy("n", "a", "b").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first < last")
+    first = named.groupBy("n", "a", "b").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first < last").hint("rebalance")  # dealt anew, so that the join can split a hot interval
     later = named.join(first, ["n", "a", "b"]).where(F.col("first") < own)
     longest_each = later.groupBy("d", "th", "pos").agg(F.max("n").alias("n"))
     return longest_each.groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("n")).alias("end")))).alias("spans"))
