@@ -22,7 +22,6 @@ ORACLE_SQL = {
     "op9_substring_dedup": substring_dedup.SQL,
     "op2_dialogue_perspectives": dialogue.SQL,
     "op4_ngram_jaccard_join": jaccard_join.SQL,
-    "op5_main_text": main_text.op5_main_text,
     "op6_embedding_near_dedup": embedding_join.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
