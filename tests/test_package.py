@@ -21,6 +21,7 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 100 and df.columns == ["table_id", "ri", "ci", "text", "n"]
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
+    assert all(isinstance(s, str) for s in entry.oracle_sql().values())
 
 
 def test_plans_keep_to_the_jvm_and_push_down(spark):
