@@ -4,7 +4,8 @@ Sets are embedded as MinHash values, of which two sets share each with the proba
 similarity. A run splits all sets along a path of sampled values: sets that agree in the first
 `DEPTH` of them share a bucket; a bucket of more than `most` sets is split on further values of the path, up
 to `DEEPEST`. Runs are repeated until a pair at the threshold is found with probability
-`recall` (14 runs for 0.9999 at 0.8). Inside a small bucket all pairs are compared by all their MinHash values, and those
+`recall` (14 runs for 0.9999 at 0.8). Splitting parts pairs, but only pairs of which both sets were in a split bucket: these
+sets alone get as many further runs, over paths of `DEEPEST` values, as give `recall` at that depth (26 more, 40 in all). Inside a small bucket all pairs are compared by all their MinHash values, and those
 that may reach the threshold are joined; what shares the whole path in a larger bucket is joined to its least
 member. The pairs to look at are those inside connected parts, which hold every pair so found.
 
@@ -34,8 +35,12 @@ DEPTH, DEEPEST = 3, 7
 BLOCK = 400  # sets in a block of a part
 
 
-def runs_for(recall: float, similarity: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**DEPTH)))
+def runs_for(recall: float, similarity: float, depth: int = DEPTH) -> int:
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)))
+
+
+def seeds_for(runs: int) -> np.ndarray:
+    return np.random.default_rng(4).integers(1, 2**63, runs * DEEPEST, dtype=np.uint64) | np.uint64(1)
 
 
 def sets(texts: list[str], n: int = 5) -> list[np.ndarray]:
@@ -62,7 +67,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, runs: int) -> DataFrame:
     """(d, th, n, h1, h2, paths array<array<long>>, sketch): the set's size and digest, a bucket for each run and depth, and 16 bits of each MinHash value."""
     depths = DEEPEST - DEPTH + 1
-    seeds = np.random.default_rng(4).integers(1, 2**63, runs * DEEPEST, dtype=np.uint64) | np.uint64(1)
+    seeds = seeds_for(runs)
     schema = "d long, th long, n long, h1 long, h2 long, paths array<array<long>>, sketch binary"
 
     def run(batches):
@@ -92,8 +97,33 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
     return docs.select(*util.key_of(F.col("doc_id"), F.col("text")), "text").mapInPandas(run, schema)
 
 
-def _bucket_edges(nodes: DataFrame, most: int, similarity: float, hashes: int) -> DataFrame:
+def deep_keys(keyed: DataFrame, runs: int, more: int) -> DataFrame:
+    """(d, key): a bucket of the whole path for each of `more` runs after the first `runs`, of rows (d, text)."""
+    seeds = seeds_for(runs + more)[runs * DEEPEST :]
+
+    def run(batches):
+        for pdf in batches:
+            for first, texts in kernels.chunks(pdf["text"]):
+                each = sets(texts)
+                size = np.array([len(s) for s in each])
+                full = np.flatnonzero(size)
+                if not len(full):
+                    continue
+                data = np.concatenate([each[i] for i in full])
+                at = np.concatenate([[0], np.cumsum(size[full])[:-1]])
+                d = pdf["d"].to_numpy()[first : first + len(texts)][full]
+                for r in range(more):
+                    key = np.full(len(full), runs + r + 1, dtype=np.uint64)
+                    for s in seeds[r * DEEPEST : (r + 1) * DEEPEST]:
+                        key = kernels.mix(key * np.uint64(kernels.BASE) + kernels.mix(np.minimum.reduceat(data * s, at)))
+                    yield pd.DataFrame({"d": d, "key": _signed(key)})
+
+    return keyed.mapInPandas(run, "d long, key long")
+
+
+def _bucket_edges(docs: DataFrame, nodes: DataFrame, most: int, similarity: float, recall: float, runs: int) -> DataFrame:
     """(u, v): members of each small bucket that may be similar, and of each bucket that stays large and its least member."""
+    hashes = runs * DEEPEST
     least = similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / hashes)  # a pair at the threshold is below it about three times in 10 ** 6
 
     def compare(batches):
@@ -117,7 +147,7 @@ def _bucket_edges(nodes: DataFrame, most: int, similarity: float, hashes: int) -
         if len(rows) > 1:
             yield pd.DataFrame(done(), columns=["u", "v"])
 
-    at, small, edges = nodes.select("d", F.explode("paths").alias("path")), None, None
+    at, small, edges, split = nodes.select("d", F.explode("paths").alias("path")), None, None, None
     for depth in range(DEEPEST - DEPTH + 1):
         key = F.col("path")[depth].alias("key")
         size = at.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("v")).where("size > 1").hint("rebalance")
@@ -130,6 +160,18 @@ def _bucket_edges(nodes: DataFrame, most: int, similarity: float, hashes: int) -
             at = util.stash(both.where(f"size > {most}").select("d", "path"))
             if at.isEmpty():
                 break
+            split = at if split is None else split
+    more = runs_for(recall, similarity, DEEPEST) - runs
+    if split is not None and more > 0:
+        hot = nodes.select("d", "th").join(split.select("d").distinct(), "d", "left_semi").distinct()
+        d, th = util.key_of(F.col("doc_id"), F.col("text"))
+        texts = docs.select(d.alias("d"), th.alias("th"), "text").join(hot, ["d", "th"], "left_semi")
+        deep = util.stash(deep_keys(texts.select("d", "text"), runs, more).distinct())  # rows that repeat an id and text hold one set
+        size = deep.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("v")).where("size > 1").hint("rebalance")
+        both = deep.join(size, "key")
+        small = small.unionAll(both.where(f"size <= {most}").select("d", "key"))
+        large = both.where(f"size > {most} and d <> v").select(F.col("d").alias("u"), "v")
+        edges = large if edges is None else edges.unionAll(large)
     dealt = small.join(nodes.select("d", "sketch").dropDuplicates(["d"]), "d").repartition("key").sortWithinPartitions("key")
     found = dealt.select("key", "d", "sketch").mapInPandas(compare, "u long, v long")
     return found if edges is None else found.unionAll(edges)
@@ -168,7 +210,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, mo
     member = util.stash(own.select("d", "th", "n", "h1", "h2").join(of_set, ["h1", "h2", "n"]).select("d", "th", "m", "copies"))
     nodes = own.select("d", "th", "paths", "sketch").join(member.where("d = m").select("d", "th").distinct(), ["d", "th"], "left_semi")
 
-    part = util.stash(util.components(_bucket_edges(nodes, most, similarity, runs * DEEPEST)).withColumnsRenamed({"id": "d", "component": "part"}).distinct())
+    part = util.stash(util.components(_bucket_edges(docs, nodes, most, similarity, recall, runs)).withColumnsRenamed({"id": "d", "component": "part"}).distinct())
     blocks = part.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     todo = member.where("d = m").distinct().join(part, "d").join(blocks, "part").select("d", "th", "copies", "part", "blocks")
     key_d, key_th = util.key_of(F.col("doc_id"), F.col("text"))

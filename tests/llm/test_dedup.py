@@ -126,6 +126,20 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert got == {i: (0, len(links[i])) for i in range(30)}
 
 
+def test_jaccard_of_split_buckets(spark):
+    """Pairs at the threshold are found as surely where every bucket is split down to the deepest: a share of 0.037 was lost."""
+    rows = []
+    for i in range(800):
+        own = [f"p{i}w{k}" for k in range(184)]
+        rows += [(2 * i, " ".join([*own[:164], *own[164:]])), (2 * i + 1, " ".join([*own[:164], *(f"q{i}w{k}" for k in range(20))]))]
+    one, other = jaccard_join.sets([t for _, t in rows[:2]])
+    both = len(np.intersect1d(one, other))
+    assert 0.8 <= both / (len(one) + len(other) - both) < 0.81
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["d"]: (r["class_id"], r["n_links"]) for r in jaccard_join.classes(df, most=1).collect()}
+    assert sum(got[2 * i + 1] == (2 * i, 1) for i in range(800)) >= 799
+
+
 def test_jaccard_stage_keeps_one_of_a_class(spark, docs, nothing):
     out = jaccard_join.stage(spark, docs, "")
     assert out.columns == docs.columns
