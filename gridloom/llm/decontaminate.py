@@ -3,8 +3,9 @@
 A MinHash signature estimates Jaccard similarity, which is tiny between a short item and a long
 document that holds it. So items are partitioned by their number of shingles, and documents are
 searched, for each partition, in windows little longer than its largest item: an item of q shingles
-of which 0.8 are in a window of u has a Jaccard similarity of at least 0.8 q / (u + 0.2 q), about
-0.4, and one of 32 minima then agrees but for one in 10 ** 7. Windows are unions of blocks of 8 shingles, whose minima are
+of which 0.8 are in a window of u has a Jaccard similarity of at least 0.8 q / (u + 0.2 q), for 17 shingles or
+more at least 0.4, and one of 32 minima then agrees but for one in 10 ** 7. Shorter items, whose similarity would be less, are
+looked up by their shingles instead, exactly. Windows are unions of blocks of 8 shingles, whose minima are
 computed once for all partitions. Candidates are verified by exact containment: the share of
 an item's distinct five-word shingles that occur anywhere in the document.
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import kernels, util
 
 BLOCK, HASHES = 8, 32
+SHORT = 16  # items of up to so many distinct shingles are looked up exactly
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -41,8 +43,20 @@ class Index:
         self.ids = [i for i, s in sets if len(s)]
         self.sets = [s for _, s in sets if len(s)]
         by = defaultdict(list)
+        short = []
         for k, s in enumerate(self.sets):
-            by[self.blocks(len(s))].append(k)
+            if len(s) <= SHORT:
+                short.append(k)
+            else:
+                by[self.blocks(len(s))].append(k)
+        value = np.concatenate([self.sets[k] for k in short]) if short else np.empty(0, dtype=np.uint64)
+        item = np.repeat(np.array(short, dtype=np.int64), [len(self.sets[k]) for k in short])
+        order = np.argsort(value, kind="stable")
+        self.items = item[order]  # of each distinct shingle of short items in turn
+        self.values, self.first = np.unique(value[order], return_index=True)
+        self.first = np.append(self.first, len(value))
+        self.top = np.zeros(1 << 16, dtype=bool)
+        self.top[self.values >> np.uint64(48)] = True
         self.parts = []  # blocks in a window; for each hash the items by minimum, and which top 16 bits occur
         for blocks, ks in sorted(by.items()):
             tables, tops = [], np.zeros((HASHES, 1 << 16), dtype=bool)
@@ -80,10 +94,28 @@ class Index:
                         found.update((d, k) for d in range(first_doc[w], last_doc[min(w + have, len(starts)) - 1] + 1))
         return found
 
+    def short(self, shingles: np.ndarray, at: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+        """(document, item, shingles shared) for items of few shingles, exactly."""
+        if not len(self.values):
+            return []
+        place = np.flatnonzero(self.top[shingles >> np.uint64(48)])
+        v = np.minimum(np.searchsorted(self.values, shingles[place]), len(self.values) - 1)
+        hit = self.values[v] == shingles[place]
+        d = np.searchsorted(at, place[hit], "right") - 1
+        d, v = np.divmod(np.unique(d * len(self.values) + v[hit]), len(self.values))
+        n = self.first[v + 1] - self.first[v]
+        k = self.items[np.repeat(self.first[v] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        both, shared = np.unique(np.repeat(d, n) * len(self.sets) + k, return_counts=True)
+        d, k = np.divmod(both, len(self.sets))
+        keep = shared >= least * np.array([len(s) for s in self.sets])[k] - 1e-9
+        return list(zip(d[keep].tolist(), k[keep].tolist(), shared[keep].tolist()))
+
     def search(self, shingles: np.ndarray, at: np.ndarray, least: float) -> list[tuple[int, int | None, float, int]]:
         """(document, item, containment, shingles shared) for documents whose shingles begin at `at`."""
-        out = []
-        for d, k in sorted(self.candidates(shingles, at)) if len(shingles) and self.sets else ():
+        if not len(shingles) or not self.sets:
+            return []
+        out = [(d, self.ids[k], shared / len(self.sets[k]), shared) for d, k, shared in self.short(shingles, at, least)]
+        for d, k in sorted(self.candidates(shingles, at)):
             shared = int(np.isin(self.sets[k], shingles[at[d] : at[d + 1]]).sum())
             if shared >= least * len(self.sets[k]) - 1e-9:
                 out.append((d, self.ids[k], shared / len(self.sets[k]), shared))

@@ -135,6 +135,14 @@ def test_contamination(spark, docs, tmp_path):
     assert left == {0, 1, 2, 3, 4}
 
 
+def test_contamination_by_short_items():
+    """Items of 1 to 16 shingles inside long documents are all found: minima alone missed some of 1 or 2 shingles."""
+    items = [(i, prose(20_000 + i, 5 + i % 16)) for i in range(320)]
+    texts = [prose(30_000 + i, 300) + " " + t + " " + prose(40_000 + i, 300) for i, t in items]
+    found = {(d, i) for d, i, share, _ in decontaminate.Index(items).search(*kernels.shingles(texts), 0.8) if share == 1}
+    assert {(i, i) for i, _ in items} <= found
+
+
 SECRETS = [
     ('password = "hunter22"', "assign:0:20"),
     ("PASSWD:abc12", ""),
