@@ -124,6 +124,11 @@ class Index:
 
 def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, most_shingles: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, containment, n_shared) of each item of which `least` of the shingles are in a document."""
+    return _contained(docs.select("doc_id", "text"), items, ["doc_id"], least, most_shingles)
+
+
+def _contained(docs: DataFrame, items: DataFrame, keys: list[str], least: float = 0.8, most_shingles: int = 2_000_000) -> DataFrame:
+    """The same, by any long columns of a document."""
 
     def slices():
         part, size = [], 0
@@ -140,13 +145,13 @@ def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, most_shingl
             index = Index(items)
             for pdf in batches:
                 rows = []
-                ids = pdf["doc_id"].astype("Int64").tolist()
+                ids = list(zip(*(pdf[k].astype("Int64").tolist() for k in keys)))
                 for first, texts in kernels.chunks(pdf["text"]):
-                    rows += [(ids[first + d], *x) for d, *x in index.search(*kernels.shingles(texts), least)]
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "containment", "n_shared"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64", "containment": float, "n_shared": "int64"})
+                    rows += [(*ids[first + d], *x) for d, *x in index.search(*kernels.shingles(texts), least)]
+                out = pd.DataFrame(rows, columns=[*keys, "item_id", "containment", "n_shared"])
+                yield out.astype({k: "Int64" for k in keys} | {"item_id": "Int64", "containment": float, "n_shared": "int64"})
 
-        return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, containment double, n_shared long")
+        return docs.mapInPandas(run, ", ".join(f"{k} long" for k in keys) + ", item_id long, containment double, n_shared long")
 
     return reduce(DataFrame.unionAll, [search_in(part) for part in slices()])
 
@@ -157,8 +162,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    held = contained(docs, util.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("held_id")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("held_id")), "left_anti")
+    d, th = util.key_of(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(d.alias("held_d"), th.alias("held_th"), "text")
+    held = _contained(keyed, util.table(spark, sf_dir, "benchmark"), ["held_d", "held_th"]).select("held_d", "held_th").distinct()
+    return docs.join(held, (d == F.col("held_d")) & (th == F.col("held_th")), "left_anti")
 
 
 SQL = r"""

@@ -28,6 +28,20 @@ def test_stages_take_effect(spark, docs, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == packed
 
 
+def test_only_contaminated_rows_go(spark, tmp_path):
+    """Clean rows that share a null or repeated id with a contaminated one stay."""
+    from gridloom.llm import decontaminate
+
+    passage = prose(4444, 40)
+    write(spark, tmp_path, "benchmark", [(1, passage)], "item_id long, text string")
+    bad = prose(1, 50) + " " + passage
+    rows = [(None, bad), (None, prose(2, 50)), (None, None), (7, bad), (7, prose(3, 50)), (8, prose(4, 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = decontaminate.stage(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
 def test_empty(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     write(spark, tmp_path, "benchmark", [], "item_id long, text string")
