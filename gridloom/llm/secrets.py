@@ -2,9 +2,9 @@
 
 A vocabulary learned from prose and code spends a token on about every four characters of what
 people write, and one on fewer than two of a random string. A run of 20 or more key-like characters
-with mixed kinds of characters, at most `ratio` characters a token and no place in a base span is a
+with at most `ratio` characters a token and no place in a base span is a
 span of kind `token`, unless it is a digest of a known length, a UUID, a number, or an identifier
-made of words.
+made of words, which are single tokens.
 
 Edge cases: null counts as empty; an empty text has no spans and the digest of the empty string;
 repeated rows get the same answer; places are code points, the end exclusive; other columns are ignored.
@@ -27,7 +27,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("passw", "secret", "token", "api")  # one of them stands in every match of ASSIGN
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]")
 DIGEST = re.compile(r"(?:sha(?:1|224|256|384|512)-)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NUMBER = re.compile(r"[0-9+/_=-]+")
@@ -56,12 +55,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], RANK[s[2]]))
 
 
-def known(run: str) -> bool:
+@lru_cache(maxsize=65_536)
+def word(part: str, vocabulary: str) -> bool:
+    """Whether the vocabulary has these letters as one token, as they are, in lower case, or after a space."""
+    e = encoding(vocabulary)
+    return any(len(e.encode_ordinary(x)) == 1 for x in (part, part.lower(), " " + part, " " + part.lower()))
+
+
+def known(run: str, vocabulary: str) -> bool:
     """A digest, a UUID, a number, or an identifier: parts of words, few digits."""
     if DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run):
         return True
     parts = PART.findall(run)
-    worded = sum(len(p) for p in parts if len(p) >= 4 and p[-1].islower())
+    worded = sum(len(p) for p in parts if len(p) >= 4 and p[-1].islower() and word(p, vocabulary))
     return worded >= 0.7 * len(run)
 
 
@@ -69,9 +75,9 @@ def token_spans(text: str, taken: list[tuple[int, int, str]], vocabulary: str, r
     out = []
     for m in LONG.finditer(text):
         run = m[0]
-        if not MIXED.search(run) or known(run) or any(s < m.end() and m.start() < e for s, e, _ in taken):
+        if any(s < m.end() and m.start() < e for s, e, _ in taken):
             continue
-        if len(run) <= ratio * len(encoding(vocabulary).encode_ordinary(run)):
+        if len(run) <= ratio * len(encoding(vocabulary).encode_ordinary(run)) and not known(run, vocabulary):
             out.append((m.start(), m.end(), "token"))
     return out
 

@@ -174,6 +174,18 @@ def test_secrets(spark, tmp_path):
     assert got[None]["n_access"] == 1
 
 
+def test_secrets_of_one_case():
+    """Random letters of one case, or with few digits, are measured; words and identifiers stay out."""
+    found = lambda t: secrets.token_spans(t, [], "byte_bpe_50k.tiktoken", 2.0)
+    r = random.Random(5)
+    random_ = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(32)) for _ in range(40)]
+    assert sum(found(t) == [(0, 32, "token")] for t in random_) >= 34
+    assert sum(found(t[:24] + "83" + t[24:]) == [(0, 34, "token")] for t in random_) >= 34
+    assert sum(found(t.upper()) == [(0, 32, "token")] for t in random_) >= 34
+    for t in ("internationalization_of_documents", "getUserAccountDetailsFromServer2", "path/to/some/other/folder/file", "MAXIMUM_NUMBER_OF_CONNECTIONS", "=" * 40, "uncharacteristically"):
+        assert not found(t), t
+
+
 def test_dialogues(spark, tmp_path):
     rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 300, "ann", None), (1, 300, "ann", "b"), (2, None, None, "x"), (None, 0, "u", "q"), (3, 0, "system", "alone"), (1, 1, "ann", "hi")]
     write(spark, tmp_path, "conversations", [(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, part string")
