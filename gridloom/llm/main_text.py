@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -39,7 +40,7 @@ NO_P = frozenset("address article aside blockquote center details dialog dir div
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 LEFT_OUT = frozenset("head script style noscript template iframe nav aside footer form button select option textarea input svg canvas object embed audio video menu dialog title link meta noembed noframes xmp".split())
 SILENT = frozenset("script style noscript template link meta title input".split())  # stand inside a block without parting it
-DEEPEST = 200  # elements below this depth count as part of what holds them
+DEEPEST = 200  # in outlines, elements below this depth count as part of what holds them; texts come from the whole tree
 MARKS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices
     alert popup modal overlay newsletter subscribe subscription signup comment comments commentlist respond disqus replies sidebar aside widget widgets menu
@@ -78,6 +79,12 @@ def left_out(tag: str, attributes: str) -> bool:
 def parse(page: str) -> Node:
     root = Node("#")
     stack = [root]
+    opened: Counter[str] = Counter()  # names on the stack
+
+    def cut(i: int) -> None:
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -92,27 +99,27 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in ("article", "main", "body", "table") and tag in INLINE:
                     break
             continue
         if tag in NO_P:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag not in INLINE or stack[i].tag in ("td", "th"):
                     break
         elif tag in ENDS:
             own, limits = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in own.split()) else ():
                 if stack[i].tag in limits:
                     break
                 if stack[i].tag in own.split():
-                    del stack[i:]
+                    cut(i)
                     if tag != "tr":
                         break
         node = Node(tag, m[3].strip())
@@ -122,40 +129,40 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
         elif tag in VOID or (tag in INLINE and m[3].endswith("/")):
             continue
-        elif len(stack) < DEEPEST:
-            stack.append(node)
         else:
-            stack[-1].items.pop()
+            stack.append(node)
+            opened[tag] += 1
     return root
 
 
 def outline(node: Node) -> tuple[tuple, list[list[Node]]]:
     """(outline, members of each of its nodes in preorder): an outline is (name, outlines of children), equal neighbours as one."""
 
-    def build(nodes: list[Node]) -> tuple[tuple, list[list[Node]]]:
+    def build(nodes: list[Node], depth: int = 1) -> tuple[tuple, list[list[Node]]]:
         groups: list[tuple[tuple, list[Node]]] = []
-        for x in (c for x in nodes for c in structural(x)):
-            own = shape(x)
+        for x in (c for x in nodes for c in structural(x)) if depth < DEEPEST else ():
+            own = shape(x, depth + 1)
             if groups and groups[-1][0] == own:
                 groups[-1][1].append(x)
             else:
                 groups.append((own, [x]))
         kids, members = [], [nodes]
         for _, same in groups:
-            kid, below = build(same)
+            kid, below = build(same, depth + 1)
             kids.append(kid)
             members += below
         return (name(nodes[0]), tuple(kids)), members
 
     shapes: dict[int, tuple] = {}
 
-    def shape(x: Node) -> tuple:
+    def shape(x: Node, depth: int) -> tuple:
         found = shapes.get(id(x))
         if found is None:
             kids: list[tuple] = []
-            for c in structural(x):
-                if not kids or kids[-1] != (own := shape(c)):
-                    kids.append(shape(c))
+            for c in structural(x) if depth < DEEPEST else ():
+                own = shape(c, depth + 1)
+                if not kids or kids[-1] != own:
+                    kids.append(own)
             found = shapes[id(x)] = (name(x), tuple(kids))
         return found
 
@@ -164,9 +171,23 @@ def outline(node: Node) -> tuple[tuple, list[list[Node]]]:
 
 def structural(x: Node) -> list[Node]:
     out: list[Node] = []
-    for c in x.items:
+    todo = x.items[::-1]
+    while todo:
+        c = todo.pop()
         if isinstance(c, Node) and c.tag not in ("script", "style", "br", "meta", "link", "title"):
-            out += structural(c) if c.tag in INLINE else [c]
+            if c.tag in INLINE:
+                todo += c.items[::-1]
+            else:
+                out.append(c)
+    return out
+
+
+def preorder(root: Node) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        out.append(x)
+        todo += [c for c in reversed(x.items) if isinstance(c, Node)]
     return out
 
 
@@ -214,27 +235,23 @@ def places(kids: tuple) -> list[int]:
 def digests_of(members: list[list[Node]]) -> list[int]:
     """A digest of the text below each node of an outline, from those of its structural elements, each read once."""
     own: dict[int, int] = {}
-
-    def digest(x: Node) -> int:
-        found = own.get(id(x))
-        if found is None:
-            parts: list[str] = []
-            read(x, parts)
-            found = own[id(x)] = hash_text(" ".join("".join(parts).split()))
-        return found
-
-    def read(x: Node, parts: list[str]) -> None:
-        for c in x.items:
+    for x in reversed([y for m in members[0] for y in preorder(m)]):
+        if x.tag in INLINE:
+            continue
+        parts: list[str] = []
+        todo = x.items[::-1]
+        while todo:
+            c = todo.pop()
             if isinstance(c, str):
                 parts.append(c)
             elif c.tag == "br":
                 parts.append(" ")
             elif c.tag in INLINE:
-                read(c, parts)
+                todo += c.items[::-1]
             elif c.tag not in ("script", "style", "meta", "link", "title"):
-                parts.append(f" <{digest(c)}> ")
-
-    return [digest(m[0]) if len(m) == 1 else hash_text(",".join(str(digest(x)) for x in m)) for m in members]
+                parts.append(f" <{own[id(c)]}> ")
+        own[id(x)] = hash_text(" ".join("".join(parts).split()))
+    return [own[id(m[0])] if len(m) == 1 else hash_text(",".join(str(own[id(x)]) for x in m)) for m in members]
 
 
 def blocks(root: Node, skip: set[int]) -> list[str]:
@@ -248,58 +265,63 @@ def blocks(root: Node, skip: set[int]) -> list[str]:
             out.append(text)
         run.clear()
 
-    def walk(x: Node) -> None:
-        for c in x.items:
-            if isinstance(c, str):
-                run.append(c)
-            elif c.tag in ("br", "wbr"):
-                run.append(" " if c.tag == "br" else "")
-            elif c.out or id(c) in skip:
-                if c.tag not in INLINE and c.tag not in SILENT:
-                    flush()
-            elif c.tag in INLINE:
-                if c.tag in ("td", "th"):
-                    run.append(" ")
-                walk(c)
-            else:
-                flush()
-                walk(c)
+    todo: list = [root]
+    while todo:
+        c = todo.pop()
+        if c is None:
+            flush()
+        elif isinstance(c, str):
+            run.append(c)
+        elif c.tag in ("br", "wbr"):
+            run.append(" " if c.tag == "br" else "")
+        elif c is not root and (c.out or id(c) in skip):
+            if c.tag not in INLINE and c.tag not in SILENT:
                 flush()
-
-    walk(root)
+        elif c.tag in INLINE:
+            if c.tag in ("td", "th"):
+                run.append(" ")
+            todo += c.items[::-1]
+        else:
+            flush()
+            todo += [None, *c.items[::-1]]
     flush()
     return out
 
 
-def size(x: Node, skip: set[int]) -> int:
-    return sum(len(c) if isinstance(c, str) else 0 if c.out or id(c) in skip else size(c, skip) for c in x.items)
+def sizes(root: Node, skip: set[int]) -> dict[int, int]:
+    """The characters of text in each element, without what is left out."""
+    found: dict[int, int] = {}
+    for x in reversed(preorder(root)):
+        found[id(x)] = sum(len(c) if isinstance(c, str) else 0 if c.out or id(c) in skip else found[id(c)] for c in x.items)
+    return found
 
 
-def article(root: Node, skip: set[int]) -> Node:
-    """The element to take the text from."""
+def articles(root: Node, skip: set[int]) -> list[Node]:
+    """The elements to take the text from, in page order."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
-
-    def look(x: Node) -> None:
-        for c in x.items:
-            if isinstance(c, Node) and not c.out:
-                if c.tag in found or "main" in c.attributes and re.search(r"""role\s*=\s*["']?main""", c.attributes):
-                    found["article" if c.tag == "article" else "main"].append(c)
-                    if c.tag == "article":
-                        continue
-                look(c)
-
-    look(root)
+    todo = [(root, False)]
+    while todo:
+        x, inside = todo.pop()
+        if x.tag == "article":
+            found["article"].append(x)
+            continue
+        if x.tag == "main" or "main" in x.attributes and re.search(r"""role\s*=\s*["']?main""", x.attributes):
+            if not inside:
+                found["main"].append(x)
+            inside = True
+        todo += [(c, inside) for c in reversed(x.items) if isinstance(c, Node) and not c.out and id(c) not in skip]
+    size = sizes(root, skip)
     for kind in ("article", "main"):
         if found[kind]:
-            return max(found[kind], key=lambda x: size(x, skip))
+            return [max(found[kind], key=lambda x: size[id(x)])]
     at = root
     while True:
-        total = size(at, skip)
+        total = size[id(at)]
         kids = [c for c in structural(at) if not c.out and id(c) not in skip and c.tag not in ("p", "ul", "ol", "table", "blockquote", "pre") and c.items]
-        largest = max(kids, key=lambda c: size(c, skip), default=None)
+        largest = max(kids, key=lambda c: size[id(c)], default=None)
         bare = any(isinstance(c, str) and c.strip() for c in at.items)  # text of its own: it is no mere container
-        if largest is None or not total or bare or size(largest, skip) < 0.6 * total:
-            return at
+        if largest is None or not total or bare or size[id(largest)] < 0.6 * total:
+            return [at]
         at = largest
 
 
@@ -383,7 +405,7 @@ def extract(page: str, outline_: str | None, digests, nodes) -> str:
         for i, j in align(read_outline(outline_), tree)[1]:
             if i in constant and all(x.tag not in ("#", "html", "body", "article", "main") for x in members[j]) and own[j] == digests[i]:
                 skip.update(map(id, members[j]))
-    return "\n".join(blocks(article(root, skip), skip))
+    return "\n".join(line for x in articles(root, skip) for line in blocks(x, skip))
 
 
 def main_text(pages: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:

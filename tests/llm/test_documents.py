@@ -225,6 +225,15 @@ def test_main_text(spark, tmp_path):
     assert got[8]["text"].replace("\n", "") == "x" * 3000 and got[None]["text"] == "n"
 
 
+def test_deep_pages_keep_their_blocks():
+    """Below 200 levels paragraphs still part, marked elements stay out, and end tags close their own element alone."""
+    deep = "<div>" * 300
+    page = f"<article>{deep}<p>one</p><nav>menu</nav><p>two</p><div class=comments>no</div>{'</div>' * 300}<p>end</p></article>"
+    assert main_text.extract(page, None, (), ()) == "one\ntwo\nend"
+    assert main_text.extract("<div>x" * 50_000, None, (), ()) == "\n".join("x" * 50_000)
+    assert main_text.extract(f"<article>{deep}<div>a</div></div>b{'</div>' * 299}<p>c</p></article>z", None, (), ()) == "a\nb\nc"
+
+
 def test_template_is_learned_from_the_host(spark):
     """Unmarked blocks that stay the same over a host's pages go; the same article on every page of a host stays."""
     page = lambda i: f"<html><body><div><p>Welcome to our site</p></div><div><section><p>{prose(i, 30)}</p><p>{prose(i + 50, 30)}</p></section><section><h5>All rights reserved, really</h5></section></div></body></html>"
