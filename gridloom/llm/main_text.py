@@ -6,7 +6,7 @@ matching. A node that is aligned in at least `least_pages` different pages of th
 least `constant` of them belongs to the template; other nodes are slots, which hold content. Pages with
 equal texts count once, so that mirrors of one page don't turn its article into template.
 
-The article is the page's `article` or `main` element, or, without one, the slot that holds most of the text, down to where
+The article is all of the page's outermost `article` (else `main`) elements in turn, or, without one, the slot that holds most of the text, down to where
 the text parts. Inside it, template nodes and what an element's name, role, class or id marks as a menu,
 header, footer, sidebar, notice, advert, form or readers' comments are left out, and all else is kept:
 blocks in page order, white space inside each as one space. A line break is white space; a table row is a block.
@@ -313,7 +313,7 @@ def articles(root: Node, skip: set[int]) -> list[Node]:
     size = sizes(root, skip)
     for kind in ("article", "main"):
         if found[kind]:
-            return [max(found[kind], key=lambda x: size[id(x)])]
+            return found[kind]
     at = root
     while True:
         total = size[id(at)]

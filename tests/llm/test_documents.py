@@ -234,6 +234,12 @@ def test_deep_pages_keep_their_blocks():
     assert main_text.extract(f"<article>{deep}<div>a</div></div>b{'</div>' * 299}<p>c</p></article>z", None, (), ()) == "a\nb\nc"
 
 
+def test_all_articles_stay():
+    """Sibling articles are kept in page order, not the largest alone."""
+    page = "<body><nav>m</nav><article><p>short</p></article><div>other</div><article><p>a much longer second part</p></article></body>"
+    assert main_text.extract(page, None, (), ()) == "short\na much longer second part"
+
+
 def test_template_is_learned_from_the_host(spark):
     """Unmarked blocks that stay the same over a host's pages go; the same article on every page of a host stays."""
     page = lambda i: f"<html><body><div><p>Welcome to our site</p></div><div><section><p>{prose(i, 30)}</p><p>{prose(i + 50, 30)}</p></section><section><h5>All rights reserved, really</h5></section></div></body></html>"
