@@ -5,46 +5,115 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from weakref import WeakKeyDictionary
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STASHED: list[tuple[SparkSession, str]] = []
+_STASHED: dict[str, SparkSession] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where unset, as in tests, one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where unset, as in tests, one of our own.
+
+    Only a driver that runs the tasks itself may have one of its own: other machines don't see it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
     """Cuts the lineage of df by a Parquet table in the shared folder, which outlives lost executors.
 
-    The table is deleted when the driver ends.
+    The stashed tables in `instead_of`, which df alone still needed, are deleted once it is written;
+    the others when the driver ends, or with `release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _STASHED:
         atexit.register(release)
-    _STASHED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _STASHED[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    for old in instead_of:
+        drop(old)
+    return out
+
+
+def drop(stashed: DataFrame) -> None:
+    """Deletes a stashed table; frames that read it must not be used any more."""
+    path = _PATHS.pop(stashed, None)
+    if path:
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _STASHED.pop(path, None)
+    if spark is None:
+        return
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        at = hadoop.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has gone, and with it the way to the folder
+        return
 
 
 def release() -> None:
     """Deletes all stashed tables; frames that read them must not be used any more."""
-    while _STASHED:
-        spark, path = _STASHED.pop()
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs
-            at = hadoop.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has gone, and with it the way to the folder
-            return
+    for path in list(_STASHED):
+        _delete(path)
+
+
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """Each name, with as many underscores as keep it apart from the columns `taken`."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(columns: Iterable[str]) -> list[Column]:
+    """The columns of these names, whatever signs stand in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key in turn, from batches sorted by `keys`; a group may stand in several batches."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        new = np.ones(len(pdf), dtype=bool)
+        new[1:] = False
+        for k in keys:
+            c = pdf[k].to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        if held and any(held[-1][k].iloc[-1] != pdf[k].iloc[0] for k in keys):
+            yield pd.concat(held) if len(held) > 1 else held[0]
+            held = []
+        for a, b in zip(first, first[1:]):
+            part = pdf.iloc[a:b]
+            yield pd.concat([*held, part]) if held else part
+            held = []
+        held.append(pdf.iloc[first[-1] :])
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +142,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     def large(e: DataFrame) -> DataFrame:
         both = spread(e)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")  # dealt anew, so that the join can split a hot label
         return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = down.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         own = least.select("u", F.col("m").alias("v"))
         rest = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return own.unionByName(rest).distinct()
@@ -89,7 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
     at = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = sign(at)
     while before[0]:
-        at = stash(small(large(at)))
+        at = stash(small(large(at)), instead_of=[at])
         now = sign(at)
         if now == before:
             break
