@@ -10,7 +10,8 @@ Pairs come from buckets of vectors that agree in the first k signs of further ro
 with the logarithm of a label's vectors, in so many tables that a pair at the threshold meets in one
 with probability `recall`; a label of few vectors is one bucket, compared whole. A pair counts in
 the first table where it meets. Large buckets are solved by pairs of blocks; links are counted where they
-are found and never emitted.
+are found and never emitted. Only ids and keys take part in dealing the buckets out; vector, code and
+factor move once for each block pair, and vectors alone in a bucket not at all.
 
 Edge cases: null, empty or zero vectors, those with null or non-finite components and those of null
 label are linked with nothing; a null vec_id is stood in for by a negative number made from the
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import kernels, util
 
-BLOCK = 512
+BLOCK = 2048
 MOST_BITS = 40
+MOST_LABELS = 10_000  # whose sizes are sent out
 EPSILON = 4.5  # of the confidence bound: a pair is wrongly dropped about once in 10 ** 5
 
 
@@ -61,6 +63,16 @@ class Signs:
         return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that makes its largest component about 1: no square overflows or vanishes, and no cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit_of(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signs after the rotation as -1 and 1, correction factors)."""
     turned = unit @ rotation(0, unit.shape[1]).T
@@ -77,6 +89,7 @@ def upper_bounds(turned: np.ndarray, code: np.ndarray, factor: np.ndarray) -> np
 
 def linked(x: np.ndarray, code: np.ndarray, factor: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float) -> np.ndarray:
     """Whether the exact cosine of each x[left] and x[right] reaches `cosine`, computed where the bound doesn't rule it out."""
+    x = scaled(x)
     norm = np.sqrt((x * x).sum(axis=1))
     turned = (x[left] / norm[left][:, None]) @ rotation(0, x.shape[1]).T
     a, b = np.nonzero(upper_bounds(turned, code[right], factor[right]) >= cosine)
@@ -87,7 +100,7 @@ def linked(x: np.ndarray, code: np.ndarray, factor: np.ndarray, left: np.ndarray
     return out
 
 
-def classes(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.9999, bucket: int = 32) -> DataFrame:
+def classes(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.9999, bucket: int = 1024) -> DataFrame:
     """(v, label, embedding, n_links, component_id) of each distinct vector that can be linked, v the least id of its rows."""
     ok = vectors.where("label is not null and embedding is not null and size(embedding) > 0").where(
         F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("embedding", lambda c: c != 0)
@@ -97,7 +110,11 @@ def classes(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.9999, bu
     n = each.groupBy("label", F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / bucket)))).cast("int")
     tables = F.when(F.col("bits") == 0, 1).otherwise(F.ceil(F.lit(math.log(1 - recall)) / F.log(1 - F.pow(F.lit(agreement(cosine)), "bits")))).cast("int")
-    n = n.withColumn("bits", bits).withColumn("tables", tables).select("label", "size", "bits", "tables")
+    n = util.stash(n.withColumn("bits", bits).withColumn("tables", tables).select("label", "size", "bits", "tables"))
+    few = n.limit(MOST_LABELS + 1).count() <= MOST_LABELS  # then no label is one task's
+
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    exact = np.float32 if kind == "float" else np.float64  # components travel as they are given
 
     def sketch(batches):
         signs = Signs()
@@ -105,59 +122,56 @@ def classes(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.9999, bu
             out = []
             for (size, k, t), g in pdf.groupby([pdf["embedding"].map(len), "bits", "tables"]):
                 x = np.array(g["embedding"].tolist(), dtype=np.float64)
-                unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                unit = unit_of(x)
                 code, factor = encode(unit)
                 keys = np.stack([signs.of(unit, i, k) for i in range(t)], axis=1)
-                packed = np.packbits(code > 0, axis=1)
                 out.append(pd.DataFrame({
-                    "label": g["label"], "size": size, "v": g["v"], "copies": g["copies"], "x": [r.astype(np.float32).tobytes() for r in x],
-                    "code": [r.tobytes() for r in packed], "factor": factor, "keys": list(keys),
+                    "label": g["label"], "size": size, "v": g["v"], "copies": g["copies"], "bits": k, "x": [r.astype(exact).tobytes() for r in x],
+                    "code": [r.tobytes() for r in np.packbits(code > 0, axis=1)], "factor": factor, "keys": list(keys),
                 }))
             if out:
                 yield pd.concat(out)
 
     label = vectors.schema["label"].dataType.simpleString()
-    schema = f"label {label}, size int, v long, copies long, x binary, code binary, factor double, keys array<long>"
-    coded = util.stash(each.withColumn("size", F.size("embedding")).join(n, ["label", "size"]).drop("size").mapInPandas(sketch, schema))
-    keyed = coded.select("label", "size", F.posexplode("keys").alias("t", "key"))
-    blocks = keyed.groupBy("label", "size", "t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = blocks.select("label", "size", "t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = coded.select("*", F.posexplode("keys").alias("t", "key")).join(blocks, ["label", "size", "t", "key"])
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("v", "label"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    schema = f"label {label}, size int, v long, copies long, bits int, x binary, code binary, factor double, keys array<long>"
+    coded = util.stash(each.withColumn("size", F.size("embedding")).join(F.broadcast(n) if few else n.hint("rebalance"), ["label", "size"]).drop("size").mapInPandas(sketch, schema))
+    bucket_of = ["label", "size", "t", "key"]
+    keyed = coded.select("label", "size", "v", F.posexplode("keys").alias("t", "key"))
+    blocks = keyed.groupBy(*bucket_of).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = blocks.select(*bucket_of, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("rebalance")
+    dealt = keyed.join(blocks, bucket_of).withColumn("block", F.pmod(F.xxhash64("v", "label"), "blocks").cast("int"))
+    of_vector = dealt.groupBy("label", "v").agg(F.collect_list(F.struct("t", "key", "block", "blocks")).alias("places"))  # one for each table at most
+    moved = coded.drop("keys").join(of_vector, ["label", "v"]).select("*", F.explode("places").alias("p")).select("*", "p.*").drop("p", "places")
+    moved = moved.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = ["label", "size", "t", "key", "i", "j"]
-    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(*group, "block", "v", "copies", "x", "code", "factor", "keys")
-    dealt = dealt.repartition(*group).sortWithinPartitions(*group)
+    moved = moved.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(*group, "block", "v", "copies", "bits", "x", "code", "factor")
+    moved = moved.repartition(*group).sortWithinPartitions(*group)
 
     def solve(batches):
-        at, rows = None, []
-
-        def done():
-            _, size, t, _, i, j = at
-            block, ids, count, x, code, factor, keys = (np.array([r[c] for r in rows]) if c not in (3, 4) else b"".join(r[c] for r in rows) for c in range(7))
-            x = np.frombuffer(x, dtype=np.float32).reshape(len(rows), size).astype(np.float64)
-            bit = np.unpackbits(np.frombuffer(code, dtype=np.uint8).reshape(len(rows), -1), axis=1)[:, :size]
-            left = np.arange(len(rows)) if i == j else np.flatnonzero(block == i)
+        signs = Signs()
+        for g in util.groups(batches, group):
+            if len(g) < 2:
+                continue
+            size, t, i, j, bits = (int(g[c].iloc[0]) for c in ("size", "t", "i", "j", "bits"))
+            x = np.frombuffer(b"".join(g["x"]), dtype=exact).reshape(len(g), size).astype(np.float64)
+            bit = np.unpackbits(np.frombuffer(b"".join(g["code"]), dtype=np.uint8).reshape(len(g), -1), axis=1)[:, :size]
+            block = g["block"].to_numpy()
+            left = np.arange(len(g)) if i == j else np.flatnonzero(block == i)
             right = left if i == j else np.flatnonzero(block == j)
             if not len(left) or not len(right):
-                return pd.DataFrame(columns=["u", "v", "links"])
-            found = linked(x, np.where(bit, 1.0, -1.0), factor, left, right, cosine)
+                continue
+            found = linked(x, np.where(bit, 1.0, -1.0), g["factor"].to_numpy(), left, right, cosine)
             a, b = np.nonzero(found)
+            if not len(a):
+                continue
+            unit = unit_of(x)
             for e in range(t):  # the pair has met before
-                met = keys[left[a], e] == keys[right[b], e]
+                keys = signs.of(unit, e, bits)
+                met = keys[left[a]] == keys[right[b]]
                 found[a[met], b[met]] = False
-            return pd.DataFrame(kernels.links_of(found, left, right, ids, count, i == j), columns=["u", "v", "links"])
+            yield pd.DataFrame(kernels.links_of(found, left, right, g["v"].to_numpy(), g["copies"].to_numpy(), i == j), columns=["u", "v", "links"])
 
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if (key := tuple(r[:6])) != at:
-                    if len(rows) > 1:
-                        yield done()
-                    at, rows = key, []
-                rows.append(tuple(r[6:]))
-        if len(rows) > 1:
-            yield done()
-
-    found = util.stash(dealt.mapInPandas(solve, "u long, v long, links long"))
+    found = util.stash(moved.mapInPandas(solve, "u long, v long, links long"))
     part = util.components(found.where("u <> v").select("u", "v")).distinct().withColumnsRenamed({"id": "v", "component": "component_id"})
     links = found.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "v")
     of = part.join(links, "v", "full")
