@@ -54,7 +54,7 @@ class Tokenize:
     For this vocabulary a single space between two other characters always begins a new word, and a
     single line feed between two is a word of its own, so texts are cut there and words
     looked up. The same vocabulary's ranks give the ids of words within Latin script; anything
-    else is left to the tokenizers library. Special tokens' strings in a text are ordinary text.
+    else, and a text with the string of a special token, is left to the tokenizers library.
     """
 
     def __init__(self, vocabulary: str = "byte_bpe_50k.json"):
@@ -63,7 +63,7 @@ class Tokenize:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(P.path(vocabulary))
-        self.slow.encode_special_tokens = True
+        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
         if vocabulary == "byte_bpe_50k.json":
             with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
@@ -89,6 +89,8 @@ class Tokenize:
         return self.whole(" " + word)
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.special):
+            return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
         odd = not self.fast or not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or _RARE.search(text)
         if odd:
             return self.whole(text)
@@ -163,7 +165,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     return slots, opened
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, rows_a_bucket: int = 20_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, rows_a_bucket: int = 20_000, most_slots: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to pieces, a stored table with columns doc_id, piece and length."""
     spark = parts.sparkSession
     counted = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
@@ -171,7 +173,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rows_a_bucket: int = 20_000
     ends = np.cumsum([s[2] for s in sorted(slots)]) if slots else []
     fields = [T.StructField(c, T.LongType()) for c in ("l", "from_rank", "n", "first", "slot_offset")]
     planned = spark.createDataFrame(sorted(slots), T.StructType(fields))
-    full = capacity.bit_length() * capacity
     buckets = max(16, int(ends[-1] // rows_a_bucket) + 1) if slots else 1
 
     parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
@@ -180,12 +181,14 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rows_a_bucket: int = 20_000
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = parts.withColumn("own", own).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("own") - 1)
 
-    # Slots of a length are few and known by their first rank: those that begin in a piece's own stretch of
-    # ranks, and the one that covers the stretch's start, are all that can hold it.
-    small = len(slots) <= full
-    planned = F.broadcast(planned) if small else planned
+    # Slots cover stretches of a length's ranks. They depend on the capacity, hardly on the corpus, and are
+    # sent out while they are `most_slots` at most; more are joined by length and stretch of ranks.
     inside = (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + F.col("n"))
-    found = ranked.join(planned, inside)
+    if len(slots) <= most_slots:
+        found = ranked.join(F.broadcast(planned), inside)
+    else:
+        stretch = F.sequence(F.floor(F.col("from_rank") / rows_a_bucket), F.floor((F.col("from_rank") + F.col("n") - 1) / rows_a_bucket))
+        found = ranked.withColumn("stretch", F.floor(F.col("rank") / rows_a_bucket)).join(planned.withColumn("of", F.explode(stretch)), inside & (F.col("stretch") == F.col("of")))
     keep = [c for c in parts.columns if c != "bucket"]
     return found.select(*keep, (F.col("first") + F.col("rank") - F.col("from_rank")).alias("sequence_id"), F.col("slot_offset").alias("offset"))
 
