@@ -5,28 +5,32 @@ byte trigrams says on which side of the bit a text stands; the codeword with the
 logistic loss against all bits wins. Two codewords of nearly the same loss flag a text as ambiguous.
 
 The classifiers are fitted on a sample of labelled rows of at most about `per_lang` rows a language
-(all rows of a language that has fewer), picked by a hash of the row; the sample is the only
-thing here that doesn't cover all rows.
+(all rows of a language that has fewer) and `most_rows` in all, picked by a hash of the row, over the
+`most_langs` most frequent labels; the sample is the only thing here that doesn't cover all rows. Its
+counts are summed on the executors, so that the driver gets one number for each language and bucket.
 
-Edge cases: a text that is null or has no letter is `und` with score 0; null labels are not learned;
+Edge cases: a text that is null or has no letter (Unicode category L) is `und` with score 0; null labels are not learned;
 a null id is neither held out nor learned; without any learned language every text is `und`;
-repeated rows get the same answer; other columns are ignored.
+repeated rows get the same answer; other columns are kept, and where one has the name of a new
+column, that gets an underscore more; `stage` treats each case alike and returns the columns it got.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernels, util
 
 BUCKETS = 1 << 13
-_LETTER = re.compile(r"[^\W\d_]")
+TEXTS = 256  # of one matrix of counts at most
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(256, 32, dtype=np.uint32)
 _FOLD[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
 
@@ -41,6 +45,13 @@ class Model:
     trust: np.ndarray  # weight of each bit's loss
 
 
+def chunks(texts):
+    """(index of the first, texts) in runs of at most about half a million characters and `TEXTS` texts."""
+    for first, part in kernels.chunks(texts, 1 << 19):
+        for i in range(0, len(part), TEXTS):
+            yield first + i, part[i : i + TEXTS]
+
+
 def counts(texts: list[str]) -> np.ndarray:
     """Trigram counts, texts x BUCKETS; whatever isn't a letter counts as a space."""
     raw = [b"  " + kernels.utf8(t.lower()) for t in texts]
@@ -82,31 +93,32 @@ def decode(f: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
     return best, p[np.arange(len(p)), best], second
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, trainable=None) -> Model | None:
+def fit(docs: DataFrame, per_lang: int = 1500, trainable=None, most_rows: int = 60_000, most_langs: int = 1000) -> Model | None:
     """Learns from the columns doc_id, text and lang of the rows that `trainable` picks; see the module's text for the sample."""
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     rows = rows if trainable is None else rows.where(trainable)
-    n_by = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_by = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    n_by = {r["lang"]: r["n"] for r in n_by.collect()}
     langs = sorted(n_by)
     if not langs:
         return None
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_lang / n_by[x]))) for x in langs])
-    sample = rows.where((F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))) < share)
+    each = min(per_lang, max(1, most_rows // len(langs)))
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, each / n_by[x])) for x in langs], "lang string, share double")
+    place = F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    sample = util.stash(rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("text", "lang"))
 
     def add(batches):
-        total = np.zeros((len(langs), BUCKETS), dtype=np.int64)
-        at = {x: i for i, x in enumerate(langs)}
         for pdf in batches:
-            for first, part in kernels.chunks(pdf["text"], 1 << 19):
-                who = np.array([at[x] for x in pdf["lang"].iloc[first : first + len(part)]])
-                c = counts(part)
-                for i in np.unique(who):
-                    total[i] += c[who == i].sum(axis=0)
-        yield pd.DataFrame({"lang": langs, "counts": list(total)})
-
+            for first, part in chunks(pdf["text"]):
+                who, c = pdf["lang"].iloc[first : first + len(part)].to_numpy(), counts(part)
+                for x in np.unique(who):
+                    total = c[who == x].sum(axis=0)
+                    at = np.flatnonzero(total)
+                    yield pd.DataFrame({"lang": x, "bucket": at, "n": total[at]})
+
+    found = sample.mapInPandas(add, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # len(langs) * BUCKETS rows at most
     seen = np.zeros((len(langs), BUCKETS))
-    for r in sample.mapInPandas(add, "lang string, counts array<long>").toLocalIterator():
-        seen[langs.index(r["lang"])] += r["counts"]
+    seen[np.searchsorted(langs, found["lang"].to_numpy(dtype=str)), found["bucket"].to_numpy(dtype=np.int64)] = found["n"]
 
     codes = codewords(len(langs))
     share_of = (seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True)  # languages count alike, however many rows they have
@@ -119,10 +131,10 @@ def fit(docs: DataFrame, per_lang: int = 1500, trainable=None) -> Model | None:
 
     def score(batches):
         for pdf in batches:
-            for first, part in kernels.chunks(pdf["text"], 1 << 19):
+            for first, part in chunks(pdf["text"]):
                 yield pd.DataFrame({"lang": pdf["lang"].iloc[first : first + len(part)].to_numpy(), "f": list(margins(part, model).astype(float))})
 
-    found = sample.mapInPandas(score, "lang string, f array<double>").toPandas()
+    found = sample.mapInPandas(score, "lang string, f array<double>").toPandas()  # about most_rows rows at most
     f, truth = np.array(found["f"].tolist()), codes[[langs.index(x) for x in found["lang"]]]
     for b in range(codes.shape[1]):
         one, other = f[truth[:, b] > 0, b], f[truth[:, b] < 0, b]
@@ -134,26 +146,30 @@ def fit(docs: DataFrame, per_lang: int = 1500, trainable=None) -> Model | None:
     return model
 
 
+NEW = ("lang_pred", "score", "runner_up", "ambiguous")
+
+
 def predict(docs: DataFrame, model: Model | None, ambiguous_below: float = 0.6) -> DataFrame:
-    """(doc_id, text, lang_pred, score, runner_up, ambiguous) of each row of docs."""
+    """docs with the columns `NEW`, or the names that `util.free` makes of them."""
 
-    def run(batches):
-        for pdf in batches:
-            for first, part in kernels.chunks(pdf["text"], 1 << 19):
-                out = pdf.iloc[first : first + len(part)].copy()
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in series:
+            out = []
+            for _, part in chunks(text):
                 letters = np.array([bool(_LETTER.search(t)) for t in part])
                 if model is None:
                     letters[:] = False
                     best, p, q = np.zeros(len(part), dtype=int), np.zeros(len(part)), np.zeros(len(part))
                 else:
                     best, p, q = decode(margins(part, model), model)
-                out["lang_pred"] = [model.langs[i] if ok else "und" for i, ok in zip(best, letters)]
-                out["score"], out["runner_up"] = np.where(letters, p, 0.0), np.where(letters, q, 0.0)
-                out["ambiguous"] = letters & (p < ambiguous_below)
-                yield out
+                lang = [model.langs[i] if ok else "und" for i, ok in zip(best, letters)]
+                out.append(pd.DataFrame({"lang_pred": lang, "score": np.where(letters, p, 0.0), "runner_up": np.where(letters, q, 0.0), "ambiguous": letters & (p < ambiguous_below)}))
+            yield pd.concat(out) if out else pd.DataFrame({"lang_pred": [], "score": [], "runner_up": [], "ambiguous": []}).astype({"lang_pred": str, "ambiguous": bool})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, f"{fields}, lang_pred string, score double, runner_up double, ambiguous boolean")
+    told = F.pandas_udf(run, "lang_pred string, score double, runner_up double, ambiguous boolean")
+    (at,) = util.free(docs.columns, "told")
+    names = util.free(docs.columns, *NEW)
+    return docs.withColumn(at, told("text")).select(*util.named(docs.columns), *[F.col(at)[x].alias(y) for x, y in zip(NEW, names)])
 
 
 def remainder() -> F.Column:
@@ -167,11 +183,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "runner_up", "ambiguous")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told: those without a letter.
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: list[str] | None = None, least_score: float = 0.4) -> DataFrame:
+    """Drops documents without a letter, those of whose language the classifiers are not sure, and those of other languages than `wanted` (none: all).
 
-    An ambiguous text stays: it may be clean prose in a mixture of languages.
+    `least_score` is the share of the probability that the language must have; a text of two languages
+    in equal parts has about half, a text of syllables of several less.
     """
-    cols = docs.columns
-    model = fit(docs, trainable=remainder() != 2)
-    return predict(docs, model).where("lang_pred <> 'und'").select(*cols)
+    lang, score, *_ = util.free(docs.columns, *NEW)
+    told = predict(docs, fit(docs, trainable=remainder() != 2))
+    keep = (F.col(lang) != "und") & (F.col(score) >= least_score)
+    if wanted is not None:
+        keep &= F.col(lang).isin(wanted)
+    return told.where(keep).select(*util.named(docs.columns))
