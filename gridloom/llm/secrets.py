@@ -1,9 +1,9 @@
 """Secrets in texts: fixed patterns, and strings that a byte-pair vocabulary can't compress.
 
 A vocabulary learned from prose and code spends a token on about every four characters of what
-people write, and one on fewer than two of a random string. A run of 20 or more key-like characters
-with at most `ratio` characters a token and no place in a base span is a
-span of kind `token`, unless it is a digest of a known length, a UUID, a number, or an identifier
+people write, and one on fewer than two of a random string. A run of 20 or more key-like characters,
+or what base spans leave of one, with at most `ratio` characters a token is a
+span of kind `token`, unless it is a digest of a known form, a UUID, a number, or an identifier
 made of words, which are single tokens.
 
 Edge cases: null counts as empty; an empty text has no spans and the digest of the empty string;
@@ -26,8 +26,12 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("passw", "secret", "token", "api")  # one of them stands in every match of ASSIGN
-LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGEST = re.compile(r"(?:sha(?:1|224|256|384|512)-)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
+LEAST = 20  # characters of a run
+LONG = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+DIGEST = re.compile(
+    r"(?:sha(?:1|224|256|384|512)-)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
+    r"|sha1-[A-Za-z0-9+/]{27}=|sha256-[A-Za-z0-9+/]{43}=|sha384-[A-Za-z0-9+/]{64}|sha512-[A-Za-z0-9+/]{86}=="
+)
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NUMBER = re.compile(r"[0-9+/_=-]+")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -66,19 +70,29 @@ def known(run: str, vocabulary: str) -> bool:
     """A digest, a UUID, a number, or an identifier: parts of words, few digits."""
     if DIGEST.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run):
         return True
-    parts = PART.findall(run)
-    worded = sum(len(p) for p in parts if len(p) >= 4 and p[-1].islower() and word(p, vocabulary))
-    return worded >= 0.7 * len(run)
+    worded = sum(len(p) for p in PART.findall(run) if len(p) >= 4 and word(p, vocabulary))
+    return worded >= 0.7 * sum(c.isalnum() for c in run)
+
+
+def outside(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The stretches of start to end that no base span, in order of their starts, takes."""
+    out = []
+    for s, e, _ in taken:
+        if s >= end:
+            break
+        if e > start:
+            out.append((start, s))
+            start = max(start, e)
+    return [(a, b) for a, b in [*out, (start, end)] if b - a >= LEAST]
 
 
 def token_spans(text: str, taken: list[tuple[int, int, str]], vocabulary: str, ratio: float) -> list[tuple[int, int, str]]:
     out = []
     for m in LONG.finditer(text):
-        run = m[0]
-        if any(s < m.end() and m.start() < e for s, e, _ in taken):
-            continue
-        if len(run) <= ratio * len(encoding(vocabulary).encode_ordinary(run)) and not known(run, vocabulary):
-            out.append((m.start(), m.end(), "token"))
+        for a, b in outside(m.start(), m.end(), taken):
+            run = text[a:b]
+            if len(run) <= ratio * len(encoding(vocabulary).encode_ordinary(run)) and not known(run, vocabulary):
+                out.append((a, b, "token"))
     return out
 
 
