@@ -10,11 +10,13 @@ computed once for all partitions. Candidates are verified by exact containment:
 an item's distinct five-word shingles that occur anywhere in the document.
 
 The items' minima and shingles are sent to all executors. Their size is checked against
-`most_shingles`; a larger benchmark is searched in slices of that size, one pass over the documents each.
+`most_shingles`; a larger benchmark is searched in slices of that size, one pass over the documents each,
+whose result is written before the next slice is fetched: the driver holds one slice at a time.
 
 Edge cases: null or empty texts and texts of under five words hold nothing and are in nothing; equal
 items are each reported; repeated documents each get their rows; a null doc_id or item_id stays null;
-empty tables give no rows; other columns are ignored.
+empty tables give no rows; other columns are ignored. `stage` keeps what holds nothing, null and empty texts
+among it, with all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,7 +155,12 @@ def _contained(docs: DataFrame, items: DataFrame, keys: list[str], least: float
 
         return docs.mapInPandas(run, ", ".join(f"{k} long" for k in keys) + ", item_id long, containment double, n_shared long")
 
-    return reduce(DataFrame.unionAll, [search_in(part) for part in slices()])
+    todo, done = slices(), []
+    part = next(todo)
+    for after in todo:
+        done.append(util.stash(search_in(part)))
+        part = after
+    return reduce(DataFrame.unionAll, [*done, search_in(part)])
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,10 +169,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
+    d_, th_ = util.free(docs.columns, "held_d", "held_th")
     d, th = util.key_of(F.col("doc_id"), F.col("text"))
-    keyed = docs.select(d.alias("held_d"), th.alias("held_th"), "text")
-    held = _contained(keyed, util.table(spark, sf_dir, "benchmark"), ["held_d", "held_th"]).select("held_d", "held_th").distinct()
-    return docs.join(held, (d == F.col("held_d")) & (th == F.col("held_th")), "left_anti")
+    held = _contained(docs.select(d.alias(d_), th.alias(th_), "text"), util.table(spark, sf_dir, "benchmark"), [d_, th_]).select(d_, th_).distinct()
+    return docs.join(held, (d == F.col(d_)) & (th == F.col(th_)), "left_anti").select(*util.named(docs.columns))
 
 
 SQL = r"""

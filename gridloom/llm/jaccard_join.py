@@ -265,14 +265,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: that of the least id."""
-    cols = docs.columns
+    """One document of each class stays: that of the least id. Of rows that repeat an id and text one stays; so of null texts, by id."""
     found = util.stash(classes(docs).distinct())
+    d_, th_ = util.free(docs.columns, "d", "th")
     d, th = util.key_of(F.col("doc_id"), F.col("text"))
-    drop = found.where("d <> class_id").select(F.col("d").alias("d_"), F.col("th").alias("th_"))
-    left = docs.join(drop, (d == F.col("d_")) & (th == F.col("th_")), "left_anti")
+    drop = found.where("d <> class_id").select(F.col("d").alias(d_), F.col("th").alias(th_))
+    left = docs.join(drop, (d == F.col(d_)) & (th == F.col(th_)), "left_anti")
     rows = docs.select(d.alias("d"), th.alias("th")).groupBy("d", "th").count().where("count > 1")
-    return (left if rows.isEmpty() else left.dropDuplicates(["doc_id", "text"])).select(*cols)
+    return (left if rows.isEmpty() else left.dropDuplicates(["doc_id", "text"])).select(*util.named(docs.columns))
 
 
 SQL = r"""
