@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.conftest import prose, write
 
@@ -42,6 +47,44 @@ def test_only_contaminated_rows_go(spark, tmp_path):
     assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
 
 
+CLASHING = "score lang_pred runner_up ambiguous told removed_lines d d_ th th_ spans spans_ cut held_id held_d held_th class_id n_links part m copies shingles paths sketch key u v label".split()
+
+
+@pytest.mark.parametrize("i", range(4))
+def test_names_that_stages_use_themselves(spark, docs, tmp_path, i):
+    """Columns with the stages' own names, some spelled in capitals, one with odd signs, come through as they are."""
+    write(spark, tmp_path, "benchmark", [(1, prose(3, 40))], "item_id long, text string")
+    names = [n.upper() if k % 3 == 0 else n for k, n in enumerate(CLASHING)] + ["a.b `c`"]
+    rows = docs.select("doc_id", "text", "lang")
+    for k, n in enumerate(names):
+        rows = rows.withColumn(n, F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    rows = rows.withColumn("big", F.lit(2**60 + 1)).withColumn("when", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("map", F.create_map(F.lit("k"), F.col("doc_id")))
+    name, stage = corpus_pipeline.STAGES[i]
+    out = stage(spark, rows, str(tmp_path))
+    assert out.columns == rows.columns and [f.dataType for f in out.schema] == [f.dataType for f in rows.schema]
+    got = out.collect()
+    assert len(got) > 20
+    for r in got:
+        assert r["big"] == 2**60 + 1 and r["map"] == {"k": r["doc_id"]}
+        assert all(r[n] == f"{k}:{'-' if r['doc_id'] is None else r['doc_id']}" for k, n in enumerate(names)), name
+
+
+def test_language_decides(spark, tmp_path):
+    """The stage goes by what the classifiers say: texts of unwanted languages and those of no one language go."""
+    from gridloom.llm import language_id
+
+    say = {"one": "the cat and the dog sat on the mat by the door", "two": "der hund und die katze liegen auf dem teppich", "six": "le chat et le chien sont assis sur le tapis"}
+    rows = [(i, " ".join(random.Random(i).choices(say[x].split(), k=40)), x) for i, x in enumerate(list(say) * 60)]
+    rows += [(900, rows[0][1], None), (901, rows[1][1], None), (902, "12 ½ ² ① --", None), (903, None, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language_id.stage(spark, df, "").collect()}
+    assert kept == {r[0] for r in rows} - {902, 903}
+    only = {r["doc_id"]: r["lang"] for r in language_id.stage(spark, df, "", wanted=["two"]).collect()}
+    assert 901 in only and 900 not in only and set(only.values()) == {"two", None} and len(only) == 61
+    sure = {r["doc_id"] for r in language_id.stage(spark, df, "", least_score=1.01).collect()}
+    assert sure == set()
+
+
 def test_empty(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     write(spark, tmp_path, "benchmark", [], "item_id long, text string")

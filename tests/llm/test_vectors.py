@@ -47,6 +47,38 @@ def test_blocks(spark, tmp_path, monkeypatch):
     assert got == {i: int(n) - 1 for i, n in enumerate((x @ x.T >= 0.98).sum(axis=1))}
 
 
+def test_doubles_are_compared_as_doubles(spark, tmp_path):
+    """Pairs within 1e-9 of the threshold, on either side, and components whose squares overflow."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(150):
+        a, b = rng.standard_normal((2, 24))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = 0.98 + (1e-9 if i % 2 else -1e-9)
+        big = 1e200 if i < 20 else 1.0
+        rows += [(2 * i, (a * big).tolist(), i), (2 * i + 1, ((c * a + np.sqrt(1 - c * c) * b) * big).tolist(), i)]
+    write(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_join.op6_embedding_near_dedup(spark, str(tmp_path)).collect()}
+    assert got == {j: i % 2 for i in range(150) for j in (2 * i, 2 * i + 1)}
+
+
+def test_recall_where_keys_are_long(spark):
+    """Pairs just above the threshold among many vectors of one label, with ten signs a key."""
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((4000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.981 * a + np.sqrt(1 - 0.981**2) * b
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate([*a, *near])], "vec_id long, embedding array<double>, label int")
+    got = {r["v"]: r["component_id"] for r in embedding_join.classes(df, bucket=8).collect()}
+    found = sum(got[4000 + i] == i for i in range(4000))
+    assert found >= 3990, found
+
+
 def test_empty(spark, tmp_path):
     write(spark, tmp_path, "embeddings", [], "vec_id long, embedding array<float>, label int")
     assert embedding_join.op6_embedding_near_dedup(spark, str(tmp_path)).count() == 0
