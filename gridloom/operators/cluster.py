@@ -41,6 +41,20 @@ def nearest(df: DataFrame, centre: DataFrame, keys: list[str], y: str) -> DataFr
     return found.withColumns({"ri": F.when(first, F.col("_b.ri")).otherwise(F.col("_a.ri")), "dist": F.when(first, to_b).otherwise(to_a)}).drop("_at", "_c", "_kind", "_a", "_b")
 
 
+def clustered(words: DataFrame, tol: Column | float) -> DataFrame:
+    """Adds grp, cy (its centre) and ri, the nearest centre, to words (table_id, word_id, y): the own group's or a neighbouring one's, the lower of equals.
+
+    All windows are over the table, so one exchange serves them.
+    """
+    at = gap_groups(words, ["table_id"], "y", tol, ["word_id"])
+    group = Window.partitionBy("table_id", "grp")
+    at = at.withColumn("cy", F.sum("y").over(group).cast("double") / F.count(F.lit(1)).over(group))
+    ordered = Window.partitionBy("table_id").orderBy("grp")
+    sides = [(-1, F.max("cy").over(ordered.rangeBetween(-1, -1))), (0, F.col("cy")), (1, F.max("cy").over(ordered.rangeBetween(1, 1)))]
+    at = at.withColumn("_near", F.array(*[F.struct(F.coalesce(F.abs(F.col("y") - c), F.lit(float("inf"))).alias("dist"), (F.col("grp") + i).alias("ri")) for i, c in sides]))
+    return at.withColumn("ri", F.array_min("_near")["ri"].cast("int")).drop("_near")
+
+
 def pitch(centre: DataFrame, keys: list[str], alone: Column | float) -> DataFrame:
     """(keys, pitch): the median distance of neighbouring centres; `alone` for a table of one row."""
     w = Window.partitionBy(*keys).orderBy("ri")

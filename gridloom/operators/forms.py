@@ -20,7 +20,7 @@ def fill(replies: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
     replies: (keys, form, values map<string,string>, low_conf array<string>).
     """
     each = replies.join(F.broadcast(fields), "form")
-    value = F.coalesce(F.try_element_at("values", F.col("key")), F.lit(""))
+    value = F.coalesce(F.try_element_at("values", F.col("key")), F.lit(""))  # also where there is no reply
     return each.select(*keys, "form", "ord", "key", X.strip(value).alias("value"), F.coalesce(F.array_contains("low_conf", F.col("key")), F.lit(False)).alias("needs_review"))
 
 

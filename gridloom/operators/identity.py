@@ -9,19 +9,28 @@ from pyspark.sql.window import Window
 from gridloom.plans import specs
 
 
-def spreads(pages: DataFrame, keys: list[str], page: str, canonical: list[int] | None = None) -> DataFrame:
+def spreads(pages: DataFrame, keys: list[str], page: str, canonical: list[int] | DataFrame | None = None, subset: bool = False) -> DataFrame:
     """Adds spread (two pages each), position (from 1 in its document) and hole: the canonical list's number, else the position.
 
-    A list of another length than a document's spreads raises an error.
+    canonical: one list for all documents, or (keys, numbers array<long>) of those that have one. A list of another
+    length than a document's spreads raises an error. With `subset`, pages are some of a document's: then
+    numbers go by the spread itself, and by its place where the list is too short.
     """
     at = pages.withColumn("spread", F.floor(F.col(page) / 2).cast("long"))
     at = at.withColumn("position", F.dense_rank().over(Window.partitionBy(*keys).orderBy("spread")))
     if canonical is None:
         return at.withColumn("hole", F.col("position").cast("long"))
-    most = F.max("position").over(Window.partitionBy(*keys))
-    listed = F.get(F.array(*[F.lit(x).cast("long") for x in canonical]), F.col("position") - 1)
-    wrong = F.raise_error(F.format_string("%d spreads but %d numbers", most, F.lit(len(canonical))))
-    return at.withColumn("hole", F.when(most != len(canonical), wrong).otherwise(listed))
+    if isinstance(canonical, DataFrame):
+        at = at.join(canonical.select(*keys, F.col("numbers").cast("array<long>").alias("_numbers")), keys, "left")
+    else:
+        at = at.withColumn("_numbers", F.array(*[F.lit(x).cast("long") for x in canonical]))
+    if subset:
+        number = F.coalesce(F.get("_numbers", F.col("spread").cast("int")), F.when(F.col("_numbers").isNotNull(), F.col("spread") + 1), F.col("position").cast("long"))
+        return at.withColumn("hole", number).drop("_numbers")
+    most, n = F.max("position").over(Window.partitionBy(*keys)), F.size("_numbers")
+    wrong = F.raise_error(F.format_string("%d spreads but %d numbers", most, n))
+    number = F.when(F.col("_numbers").isNull(), F.col("position").cast("long")).when(most != n, wrong).otherwise(F.get("_numbers", F.col("position") - 1))
+    return at.withColumn("hole", number).drop("_numbers")
 
 
 def hole_hint(fields: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:

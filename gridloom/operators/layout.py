@@ -40,8 +40,7 @@ def slots(placed: DataFrame, keys: list[str], order: list[str], text: str = "tex
 
 def reconstruct(words: DataFrame, bounds: DataFrame, tol: float) -> DataFrame:
     """(table_id, ri, ci, text, n): words by gap clustering, nearest centre and band; words outside all bands make centres but no cells."""
-    grouped = cluster.gap_groups(words, ["table_id"], "y", tol, ["word_id"])
-    near = cluster.nearest(words, cluster.centres(grouped, ["table_id"], "y"), ["table_id"], "y")
+    near = cluster.clustered(words.repartition("table_id"), tol)
     return slots(place(near, bounds).where("ci is not null"), ["table_id", "ri", "ci"], ["cx", "word_id"])
 
 
@@ -52,6 +51,7 @@ def table_body(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
     row with a footer stem ends it, before the header test; keyless rows with a header stem are skipped.
     """
     keys = keys or ["table_id"]
+    cells = cells.repartition(*keys)  # then all windows are where the rows are
     row = Window.partitionBy(*keys, "ri")
     low = F.lower(F.coalesce("text", F.lit("")))
     marked = cells.withColumns({
@@ -67,21 +67,32 @@ def table_body(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return kept.drop("_key", "_foot", "_head", "_first", "_end")
 
 
-def fixed_rows(words: DataFrame, height: float, header_rows: int, n_labels: int) -> DataFrame:
-    """Adds r to words (table_id, word_id, y, ci, text) of a table with printed row labels; words of no row go.
+def anchored(words: DataFrame, header_rows: Column, n_labels: Column) -> DataFrame:
+    """Adds anchors array<double>, own, band and reach to words (table_id, word_id, y, ci, height) of tables with printed row labels.
 
-    Anchors are clusters of the first column's words; if their number isn't that of the labels, rows lie
-    in proportion. A word takes the nearest anchor within half a band. Junk words count as anchors only.
+    Anchors are clusters of the first column's words, junk among them; if their number isn't that of the labels, rows lie in proportion.
     """
-    band0 = height * (1 - header_rows / (header_rows + n_labels)) / n_labels
-    found = cluster.centres(cluster.gap_groups(words.where("ci = 0"), ["table_id"], "y", 0.5 * band0, ["word_id"]), ["table_id"], "y")
-    n = found.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.min("cy").alias("lo"), F.max("cy").alias("hi"))
-    tables = words.select("table_id").distinct().join(n, "table_id", "left").withColumn("own", F.coalesce(F.col("n") == n_labels, F.lit(False)))
-    band = F.when(F.col("own") & (F.lit(n_labels) >= 2), (F.col("hi") - F.col("lo")) / max(n_labels - 1, 1)).otherwise(F.lit(band0))
-    top = height * header_rows / (header_rows + n_labels)
-    tables = tables.withColumn("band", band)
-    own = found.join(tables.where("own").select("table_id", "band"), "table_id").select("table_id", "ri", "cy", "band")
-    even = tables.where("not own").select("table_id", F.posexplode(F.array(*[F.lit(top + (i + 0.5) * band0) for i in range(n_labels)])).alias("ri", "cy"), "band")
-    anchors = own.unionByName(even)
-    near = cluster.nearest(words.where(~X.is_junk(F.col("text"))), anchors, ["table_id"], "y")
-    return near.join(tables.select("table_id", "band"), "table_id").where("dist <= 0.5 * band").withColumnRenamed("ri", "r").drop("dist", "band")
+    n, h = n_labels.cast("double"), header_rows.cast("double")
+    step = F.col("height") * (1 - h / (h + n)) / n
+    at = words.withColumns({"_step": step, "_first": F.coalesce(F.col("ci") == 0, F.lit(False)), "_labels": n_labels.cast("int"), "_top": F.col("height") * h / (h + n)})
+    at = cluster.gap_groups(at, ["table_id", "_first"], "y", 0.5 * F.col("_step"), ["word_id"], "_grp")
+    group, table = Window.partitionBy("table_id", "_first", "_grp"), Window.partitionBy("table_id")
+    at = at.withColumn("_cy", F.when(F.col("_first"), F.sum("y").over(group).cast("double") / F.count(F.lit(1)).over(group)))
+    at = at.withColumn("own", F.coalesce(F.max(F.when(F.col("_first"), F.col("_grp"))).over(table) + 1 == F.col("_labels"), F.lit(False)))
+    found = F.array_sort(F.collect_set(F.when(F.col("own") & F.col("_first"), F.col("_cy"))).over(table))  # as many as labels, or none
+    even = F.transform(F.sequence(F.lit(0), F.col("_labels") - 1), lambda i: F.col("_top") + (i + 0.5) * F.col("_step"))
+    at = at.withColumn("anchors", F.when(F.col("own"), found).otherwise(even))
+    spread = (F.get("anchors", F.col("_labels") - 1) - F.get("anchors", F.lit(0))) / F.greatest(F.col("_labels") - 1, F.lit(1))
+    return at.withColumn("band", F.when(F.col("own") & (F.col("_labels") >= 2), spread).otherwise(F.col("_step"))).drop("_step", "_first", "_labels", "_top", "_grp", "_cy")
+
+
+def nearest_anchor(at: DataFrame) -> DataFrame:
+    """Adds r to anchored words: the nearest anchor within half a band; words of no row, and junk, go."""
+    near = F.array_min(F.transform("anchors", lambda a, i: F.struct(F.abs(F.col("y") - a).alias("dist"), i.alias("r"))))
+    return at.where(~X.is_junk(F.col("text"))).withColumn("_near", near).where("_near.dist <= 0.5 * band").withColumn("r", F.col("_near.r").cast("int")).drop("_near")
+
+
+def fixed_rows(words: DataFrame, height: float, header_rows: int, n_labels: int) -> DataFrame:
+    """Adds r to words (table_id, word_id, y, ci, text) of tables of one size with printed row labels; words of no row go."""
+    at = anchored(words.repartition("table_id").withColumn("height", F.lit(float(height))), F.lit(header_rows), F.lit(n_labels))
+    return nearest_anchor(at).drop("anchors", "own", "band", "height")

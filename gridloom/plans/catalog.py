@@ -85,7 +85,7 @@ def column_bounds(spark, sf):
 
 H, HEAD, N = 1400.0, 2, 5
 BAND0 = H * (1 - HEAD / (HEAD + N)) / N
-FIXED = f"""words AS (SELECT user_id AS table_id, event_id AS word_id, CAST(event_id * 7919 % 1400 AS DOUBLE) AS y, CAST(event_id % 5 AS INTEGER) AS ci, event_type AS text FROM events WHERE user_id % 3 > 0),
+FIXED = f"""words AS (SELECT user_id AS table_id, event_id AS word_id, CAST(event_id * 7919 % 1400 AS DOUBLE) AS y, CAST(event_id % 5 AS INTEGER) AS ci, event_type AS text FROM events),
 a AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY table_id ORDER BY y, word_id) > {0.5 * BAND0!r} THEN 1 ELSE 0 END AS new FROM words WHERE ci = 0),
 b AS (SELECT *, sum(new) OVER (PARTITION BY table_id ORDER BY y, word_id ROWS UNBOUNDED PRECEDING) AS grp FROM a),
 c AS (SELECT table_id, CAST(grp AS INTEGER) AS ri, CAST(sum(y) AS DOUBLE) / count(*) AS cy FROM b GROUP BY table_id, grp),
@@ -96,7 +96,7 @@ near AS (SELECT w.table_id, w.word_id, any_value(w.ci) AS ci, arg_min(ri, {{'d':
 
 @query(f"WITH {FIXED} SELECT table_id, word_id, ci, CAST(r AS INTEGER) AS r FROM near JOIN n USING (table_id) WHERE dist <= 0.5 * band")
 def fixed_row_anchor(spark, sf):
-    e = L.table(spark, sf, "events").where("user_id % 3 > 0")
+    e = L.table(spark, sf, "events")
     k = F.col("event_id")
     words = e.select(F.col("user_id").alias("table_id"), k.alias("word_id"), (k * 7919 % 1400).cast("double").alias("y"), (k % 5).cast("int").alias("ci"), F.col("event_type").alias("text"))
     return layout.fixed_rows(words, H, HEAD, N).select("table_id", "word_id", "ci", "r")
@@ -134,7 +134,7 @@ SELECT table_id, ri, ci, text FROM e WHERE ri >= first AND (ends IS NULL OR ri <
 def header_trim_footer_cut(spark, sf):
     made = spark.createDataFrame(BODY_ROWS, "ri int, ci int, text string").crossJoin(spark.range(3).withColumnRenamed("id", "t"))
     made = made.where("not (t = 1 and ri in (1, 2, 4, 6)) and not (t = 2 and ri = 5)").select((-2 - F.col("t")).alias("table_id"), "ri", "ci", "text")
-    real = layout.slots(word_cells(spark, sf), ["table_id", "ri", "ci"], ["pos"]).drop("n")
+    real = layout.slots(word_cells(spark, sf).repartition("table_id"), ["table_id", "ri", "ci"], ["pos"]).drop("n")
     return layout.table_body(real.unionByName(made)).select("table_id", "ri", "ci", "text")
 
 

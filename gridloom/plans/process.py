@@ -4,60 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions import text as X
-from gridloom.operators import cluster, ditto, identity, layout, reconcile
+from gridloom.operators import forms, reconcile, tables
 from gridloom.plans import specs
 
-TOLERANCE = 24.0
-LEFT, RIGHT = [4, 5, 6], [7, 8, 9]  # fixed values: columns of sampling_right whose numbers are compared
-
-
-def rows_of(words: DataFrame, kind: str, width: float, height: float, tol: float = TOLERANCE) -> DataFrame:
-    """(table_id, r, c, y, y_conf): the text engine's words (table_id, word_id, cx, y, text, conf) in slots of one kind of table."""
-    spark = words.sparkSession
-    bounds = layout.column_bounds(layout.spec_columns(spark), width).where(F.col("kind") == kind)
-    if kind in specs.ROW_LABELS:
-        placed = layout.fixed_rows(layout.place(words, bounds), height, specs.HEADER_ROWS[kind], len(specs.ROW_LABELS[kind])).where("ci is not null")
-        at = placed.withColumnRenamed("r", "ri")
-    else:
-        near = cluster.nearest(words, cluster.centres(cluster.gap_groups(words, ["table_id"], "y", tol, ["word_id"]), ["table_id"], "y"), ["table_id"], "y")
-        at = layout.place(near, bounds).where("ci is not null")
-    each = F.sort_array(F.collect_list(F.struct("cx", "word_id", F.col("text").alias("t"))))
-    slots = at.groupBy("table_id", "ri", "ci").agg(X.strip(F.array_join(F.transform(each, lambda s: s["t"]), " ")).alias("text"), F.avg("conf").alias("y_conf"))
-    if kind not in specs.ROW_LABELS:
-        slots = layout.table_body(slots)
-        slots = slots.withColumn("ri", F.dense_rank().over(Window.partitionBy("table_id").orderBy("ri")) - 1)
-    conf = F.lit(None).cast("double") if kind in specs.WORD_PLACEMENT else F.col("y_conf")
-    return slots.select("table_id", F.col("ri").alias("r"), F.col("ci").alias("c"), F.col("text").alias("y"), conf.alias("y_conf"))
-
-
-def recognise(words: DataFrame, grid: DataFrame, kind: str, width: float, height: float, engine: str = "hybrid", ink: DataFrame | None = None, tol: float = TOLERANCE) -> DataFrame:
-    """(table_id, r, c, text, source, conf, needs_review, q, reader_text, grid_text, expanded) of one kind of table.
-
-    grid: the layout engine's (table_id, r, c, q), matched by place; its rows beyond those that geometry
-    finds go. ink: (table_id, r, c) of places with ink; without it, places with words have ink.
-    grid_text is the text with numbers blanked that the columns to the right repeat; expanded marks repeat marks with a value above.
-    """
-    found = rows_of(words, kind, width, height, tol)
-    labels = specs.ROW_LABELS.get(kind)
-    tables = words.select("table_id").distinct() if labels else found.groupBy("table_id").agg(F.max("r").alias("last"))
-    rows = tables.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(len(labels) - 1) if labels else F.col("last")))).select("table_id", "r")
-    columns = specs.FILL_COLUMNS.get(kind) or tuple(range(len(specs.leaves(kind))))
-    dense = rows.withColumn("c", F.explode(F.array(*[F.lit(c) for c in columns])))
-    on = ["table_id", "r", "c"]
-    both = dense.join(found, on, "left").join(grid.select(*on, "q"), on, "left")
-    if ink is not None:
-        both = both.join(ink.select(*on, F.lit(True).alias("ink")), on, "left").withColumn("ink", F.coalesce("ink", F.lit(False)))
-    else:
-        both = both.withColumn("ink", F.coalesce(F.col("y"), F.lit("")) != "")
-    cells = reconcile.cells(both, kind, engine)
-    cells = cells.withColumn("grid_text", F.col("text"))
-    if kind == "sampling_right":
-        cells = reconcile.blank_repeats(cells, ["table_id", "r"], LEFT, RIGHT, "grid_text")
-    masked = ditto.expand(cells, ["table_id", "c"], ["r"], "grid_text", F.col("c") > 0 if labels else None)
-    return masked.select(*on, "text", "source", "conf", "needs_review", "q", "reader_text", "grid_text", "expanded")
+def recognise(words: DataFrame, grid: DataFrame, kind: str, width: float, height: float, engine: str = "hybrid", ink: DataFrame | None = None, tol: float = tables.TOLERANCE) -> DataFrame:
+    """`tables.recognise` for words (table_id, word_id, cx, y, text, conf) and a layout grid (table_id, r, c, q) of tables of one kind and size."""
+    sized = {"kind": F.lit(kind), "width": F.lit(float(width)), "height": F.lit(float(height))}
+    x0 = F.col("x0") if "x0" in words.columns else F.col("cx")
+    known = words.select("table_id").unionByName(grid.select("table_id")).distinct().withColumns(sized | {"x0": F.lit(0), "y0": F.lit(0)})
+    return tables.recognise(words.withColumns(sized | {"x0": x0}), known, grid, engine, ink, tol=tol)
 
 
 def summary(cells: DataFrame, grid: DataFrame) -> DataFrame:
@@ -69,19 +26,25 @@ def summary(cells: DataFrame, grid: DataFrame) -> DataFrame:
     return own.join(lines, "table_id", "left").join(reconcile.divergence(cells, ["table_id"], "q", "reader_text"), "table_id")
 
 
-def sheets(cells: DataFrame, tables: DataFrame, kind: str) -> DataFrame:
-    """Cells with doc_id and sheet: tables names each table's (table_id, doc_id, hole)."""
-    return cells.join(tables, "table_id").withColumns({"kind": F.lit(kind), "sheet": identity.sheet_name(F.lit(kind), F.col("hole"))})
-
+def reply_cells(replies: DataFrame, kind: str | None = None) -> DataFrame:
+    """(table_id, r, c, q, low) of a layout engine's replies (table_id, reply, kind unless it is one for all): JSON {rows, low_conf}, fenced or not.
 
-def reply_cells(replies: DataFrame, kind: str) -> DataFrame:
-    """(table_id, r, c, q, low) of a layout engine's replies (table_id, reply): JSON {rows, low_conf}, fenced or not; rows are cut and padded to the table's columns."""
-    n = len(specs.leaves(kind))
-    at = replies.withColumn("j", F.from_json(X.reply_json(F.col("reply")), "rows array<array<string>>, low_conf array<array<int>>"))
-    rows = at.select("table_id", "j.low_conf", F.posexplode("j.rows").alias("r", "row"))
-    cells = rows.select("table_id", "r", "low_conf", F.posexplode(F.slice(F.concat(F.coalesce("row", F.array().cast("array<string>")), F.array_repeat(F.lit(""), n)), 1, n)).alias("c", "q"))
+    Rows are cut and padded to the table's columns; a row that is no list is one text.
+    """
+    n = F.lit(len(specs.leaves(kind))) if kind else tables.by_kind(F.col("kind"), {k: len(specs.leaves(k)) for k in specs.KINDS})
+    at = replies.withColumns({"n": n, "j": F.from_json(X.reply_json(F.col("reply")), "rows array<string>, low_conf array<array<int>>")})
+    rows = at.select("table_id", "n", "j.low_conf", F.posexplode("j.rows").alias("r", "raw"))
+    row = F.coalesce(F.from_json("raw", "array<string>"), F.array("raw"))
+    row = F.when(F.col("raw").startswith("["), row).otherwise(F.array("raw"))
+    cells = rows.select("table_id", "r", "low_conf", F.posexplode(forms.pad_row(row, F.col("n"))).alias("c", "q"))
     low = F.coalesce(F.array_contains("low_conf", F.array("r", "c")), F.lit(False))
-    return cells.select("table_id", "r", "c", F.coalesce("q", F.lit("")).alias("q"), low.alias("low"))
+    return cells.select("table_id", "r", "c", "q", low.alias("low"))
+
+
+def reply_fields(replies: DataFrame) -> DataFrame:
+    """(table_id, form, values map, low_conf array) of a layout engine's replies (table_id, form, reply) for forms: JSON {fields, low_conf}, either of which may be absent."""
+    at = replies.withColumn("j", F.from_json(X.reply_json(F.col("reply")), "fields map<string,string>, low_conf array<string>"))
+    return at.select("table_id", "form", F.coalesce("j.fields", F.create_map().cast("map<string,string>")).alias("values"), F.coalesce("j.low_conf", F.array().cast("array<string>")).alias("low_conf"))
 
 
 def prompt(kind: str) -> str:
@@ -90,6 +53,12 @@ def prompt(kind: str) -> str:
     return f'Columns, in order: {labels}. Reply with JSON {{"rows": [[...]], "low_conf": [[row, column], ...]}} and {len(specs.leaves(kind))} texts in each row.'
 
 
+def form_prompt(form: str) -> str:
+    """What a layout engine is asked for a form: its title and fields, and the reply's form."""
+    keys = "; ".join(specs.FORM_FIELDS[form])
+    return f'Form: {specs.FORM_TITLES[form]}. Fields: {keys}. Reply with JSON {{"fields": {{name: text}}, "low_conf": [name, ...]}}, an empty text for an empty field.'
+
+
 def run(spark: SparkSession, words: str, grid: str, out: str, kind: str, width: float, height: float, engine: str = "hybrid") -> DataFrame:
     """Reads words and the layout grid as Parquet, writes cells and their summary, and returns the summary."""
     w, g = spark.read.parquet(words), spark.read.parquet(grid)

@@ -38,6 +38,7 @@ COLUMNS = {
     "kontrol": [("Дата контроля", 14, False), ("Что контролируется", 28, False), ("Вес металла", 12, False)],
 }
 KINDS = tuple(COLUMNS)
+FORMS = ("form_journal", "form_act")
 # Shares of the width; tables without them go by their columns' widths.
 FRACTIONS = {
     "journal_left": (0.049, 0.076, 0.082, 0.081, 0.401, 0.107, 0.089, 0.115),
@@ -46,6 +47,7 @@ FRACTIONS = {
 }
 GRAPH_NUMBERS = {"journal_left": (1, 2, 3, 4, 5, 6, 7, 8), "sampling_right": (9, 10, 11, 12, 13, 14, 15, 16, 17, 18)}
 HEADER_ROWS = {"journal_left": 2, "sampling_right": 2, "samorodki": 1, "podschet": 2, "pokazateli": 1, "kontrol": 1}
+# Printed row labels and their units.
 ROW_LABELS = {
     "podschet": ("Глубина выемки", "Мощность торфов", "Мощность песков", "Среднее содержание", "Вертикальный запас"),
     "pokazateli": ("Общий вес металла по скважине, мг", "Вес металла введенного в подсчёт, мг", "Площадь скважин для теорет. объема, кв. см", "Средний коэффициент по объему"),
@@ -54,6 +56,7 @@ UNITS = {"podschet": ("м", "-ll-", "-ll-", "мг-м куб.", "мг-м куб."
 FILL_COLUMNS = {"podschet": (2, 3), "pokazateli": (1, 2, 3)}
 SIGNATURE_COLUMN = {"podschet": 5}
 WORD_PLACEMENT = ("podschet",)
+# Words that tell the tables apart.
 KEYWORDS = {
     "journal_left": ("описание", "проходок", "глубина", "разрез"),
     "sampling_right": ("опроб", "теоретич", "процент", "содержание"),
@@ -86,6 +89,7 @@ CODE_MAP = {
 # Characters of repeat marks besides white space, and the further marks that scoring knows.
 DITTO_CHARACTERS = r"\-\x{2010}-\x{2015}_l\x{456}/\\\x{AB}\x{BB}\x{22}\x{27}\x{2019}\x{201C}\x{201D}\x{B7}."
 SCORED_DITTO = ("-ll-", ">>", "—''—", "—«—")
+# Secrets in logs, and what stands for them.
 SECRET_PATTERNS = (
     (r"(?i)(Api-Key\s+)([A-Za-z0-9._\-]+)", "$1***"),
     (r"(AQVN[A-Za-z0-9._\-]{10,})", "***"),
@@ -101,11 +105,17 @@ JOURNAL_FIELDS = (
 )
 ACT_FIELDS = ("Скважина №", "Глубина, м", "Заключение акта (текст)", "Начальник участка, отряда", "Геолог", "Буровой мастер", "Дата")
 FORM_FIELDS = {"form_journal": JOURNAL_FIELDS, "form_act": ACT_FIELDS}
+FORM_TITLES = {"form_journal": "Титульный лист «ЖУРНАЛ»", "form_act": "АКТ на завершённую скважину"}
+FORM_HEADER = ("Поле", "Значение", "Источник")
+RAW_FIELD = "(сырой текст)"  # the one field of a form that the text engine alone has read
+HINT_FIELD = "OCR: Скважина № (подсказка)"
+# sheets' names, and truth's names of the tables.
 SHEET_NAMES = {
     "journal_left": "гр1-8", "sampling_right": "гр9-18", "podschet": "подсчёт", "pokazateli": "показатели",
     "kontrol": "контроль", "samorodki": "самородки", "form_journal": "титул", "form_act": "акт",
 }
 TRUTH_KINDS = {"гр1-8": "journal_left", "гр9-18": "sampling_right", "самородки": "samorodki", "подсчёт": "podschet", "показатели": "pokazateli", "контроль": "kontrol"}
+# Columns that a form prints itself, and confidences.
 FIXED_COLUMNS = {"podschet": (0, 1), "pokazateli": (0,), "kontrol": (0,), "samorodki": (0,)}
 AGREE_CONF, DISAGREE_CONF, UNREAD_CONF, LOW_CONF = 0.95, 0.45, 0.5, 0.55
 
