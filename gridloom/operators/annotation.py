@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 WORD = "struct<text:string,confidence:string,conf:string,score:string,boundingBox:struct<vertices:array<struct<x:string,y:string>>>>"
 LINE = WORD[:-1] + f",words:array<{WORD}>>"
-CELL = "struct<rowIndex:int,columnIndex:int,rowSpan:int,columnSpan:int,text:string>"
-SCHEMA = f"struct<width:double,height:double,fullText:string,blocks:array<struct<lines:array<{LINE}>>>,tables:array<struct<rowCount:int,columnCount:int,cells:array<{CELL}>>>>"
+CELL = "struct<rowIndex:int,columnIndex:int,rowSpan:int,columnSpan:int,text:string,boundingBox:struct<vertices:array<struct<x:string,y:string>>>>"
+SCHEMA = f"struct<width:double,height:double,fullText:string,blocks:array<struct<lines:array<{LINE}>>>,tables:array<struct<rowCount:int,columnCount:int,boundingBox:struct<vertices:array<struct<x:string,y:string>>>,cells:array<{CELL}>>>>"
 
 
 def box(node: F.Column) -> F.Column:
@@ -19,6 +19,12 @@ def box(node: F.Column) -> F.Column:
     return F.when(F.size(v) > 0, made)
 
 
+def measures(box: F.Column) -> F.Column:
+    """A box's w, h and area, which is 0 where an edge is before its opposite."""
+    w, h = box["x1"] - box["x0"], box["y1"] - box["y0"]
+    return F.struct(w.alias("w"), h.alias("h"), (F.greatest(F.lit(0), w) * F.greatest(F.lit(0), h)).alias("area"))
+
+
 def confidence(node: F.Column) -> F.Column:
     """Of the first name that is present; one that is no number is null, and no later name is tried."""
     return F.when(node["confidence"].isNotNull(), node["confidence"].try_cast("double")).when(node["conf"].isNotNull(), node["conf"].try_cast("double")).otherwise(node["score"].try_cast("double"))
@@ -37,3 +43,11 @@ def words(df: DataFrame, annotation: str) -> DataFrame:
     at = df.select("*", F.posexplode_outer(f"{annotation}.blocks").alias("block", "_b")).select("*", F.posexplode_outer("_b.lines").alias("line", "_l"))
     at = at.select("*", F.posexplode("_l.words").alias("word", "_w"))
     return at.withColumns({"text": F.col("_w.text"), "box": box(F.col("_w")), "conf": confidence(F.col("_w"))}).where("coalesce(text, '') <> '' and box is not null").drop("_b", "_l", "_w")
+
+
+def tables(df: DataFrame, annotation: str) -> DataFrame:
+    """One row for each cell of an annotation's tables: table (its number), rows, cols, table_box, r, c, rs, cs, text and box; a table without cells has one row of nulls."""
+    at = df.select("*", F.posexplode(f"{annotation}.tables").alias("table", "_t")).select("*", F.explode_outer("_t.cells").alias("_c"))
+    counted = {"rows": F.coalesce("_t.rowCount", F.lit(0)), "cols": F.coalesce("_t.columnCount", F.lit(0)), "table_box": box(F.col("_t")), "r": F.coalesce("_c.rowIndex", F.when(F.col("_c").isNotNull(), 0)), "c": F.coalesce("_c.columnIndex", F.when(F.col("_c").isNotNull(), 0))}
+    spans = {"rs": F.coalesce("_c.rowSpan", F.when(F.col("_c").isNotNull(), 1)), "cs": F.coalesce("_c.columnSpan", F.when(F.col("_c").isNotNull(), 1)), "text": F.coalesce("_c.text", F.when(F.col("_c").isNotNull(), "")), "box": box(F.col("_c"))}
+    return at.withColumns(counted | spans).drop("_t", "_c")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Fixed values: (kind, x0, y0, x1, y1, confidence) by case, in shares of width and height.
 RIGHT_OF_MAIN = (("pokazateli", 0.49, 0.19, 0.75, 0.31, 0.6), ("kontrol", 0.49, 0.42, 0.75, 0.57, 0.6))
@@ -60,3 +61,30 @@ def locate(halves: DataFrame) -> DataFrame:
 
 def counts(objects: DataFrame) -> DataFrame:
     return objects.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def of_halves(halves: DataFrame, min_area: float = 0.015) -> DataFrame:
+    """(path, page, side, kind, x0, y0, x1, y1, conf, ruled_rows) of every object on half pages, as `images.halves` gives them."""
+    keys = ["path", "page", "side"]
+    boxes = regions(halves.select(*keys, "width", "height", F.inline("boxes")), min_area)
+    main = main_table(boxes, keys)
+    small = boxes.where("y < 0.35 * height and h < 0.45 * height")
+    box = F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1")).cast(BOX)
+    top = small.groupBy(*keys).agg(F.min_by(box, F.struct("y", "x")).alias("top"))
+    at = halves.select(*keys, "width", "height", F.col("h_lines").alias("ruled_rows")).join(main, keys, "left").join(top, keys, "left")
+    return locate(at).drop("width", "height")
+
+
+def report(objects: DataFrame) -> DataFrame:
+    """(path, n, line) of each document's summary as lines of text: its objects, then each kind's, in order."""
+    by = objects.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+    total = objects.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page").alias("pages"))
+    head = total.select("path", F.posexplode(F.array(F.concat(F.lit("file: "), "path"), F.format_string("pages: %d", "pages"), F.format_string("objects: %d", "n"), F.lit(""), F.lit("by kind:"))).alias("n", "line"))
+    rest = by.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("kind")) + 4).alias("at"), F.format_string("  %-16s %d", "kind", "n").alias("line")).withColumnRenamed("at", "n")
+    return head.unionByName(rest)
+
+
+def manifest(halves: DataFrame) -> DataFrame:
+    """(path, page, side, deskew_deg, h_lines, v_lines, w, h, enhanced) of half pages; pages from 1."""
+    name = F.format_string("p%02d_%s_enhanced.png", F.col("page") + 1, F.col("side"))
+    return halves.select("path", (F.col("page") + 1).alias("page"), "side", F.bround("deskew", 2).alias("deskew_deg"), "h_lines", "v_lines", F.col("width").alias("w"), F.col("height").alias("h"), name.alias("enhanced"))

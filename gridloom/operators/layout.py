@@ -26,6 +26,30 @@ def column_bounds(columns: DataFrame, width: float) -> DataFrame:
     return at.withColumn("hi", hi).select("kind", "ci", F.coalesce(F.lag("hi").over(by), F.lit(0)).alias("lo"), "hi")
 
 
+def leaf_labels(columns: DataFrame) -> DataFrame:
+    """(kind, ci, label, ncols, width) of each column: its label after its group's, the kind's number of columns and the sum of their widths."""
+    whole = Window.partitionBy("kind")
+    return columns.select("kind", "ci", F.concat_ws(" — ", "group_label", "label").alias("label"), F.count(F.lit(1)).over(whole).alias("ncols"), F.sum("width").over(whole).alias("width"))
+
+
+def detect_kind(tables: DataFrame, keys: list[str], text: str, ncols: str) -> DataFrame:
+    """(keys, kind, hits): of the kinds with a table's number of columns, the one of whose keywords most stand in its text, the first of equals, even with none."""
+    kinds = tables.sparkSession.createDataFrame([(k, i, len(specs.leaves(k)), list(specs.KEYWORDS[k])) for i, k in enumerate(specs.KINDS)], "kind string, pos int, _n int, kws array<string>")
+    at = tables.join(F.broadcast(kinds), F.col(ncols) == F.col("_n"))
+    hits = F.size(F.filter("kws", lambda w: F.contains(F.lower(text), w))).cast("long")
+    return at.withColumn("hits", hits).groupBy(*keys).agg(F.min_by("kind", F.struct(-F.col("hits"), F.col("pos"))).alias("kind"), F.max("hits").alias("hits"))
+
+
+def dense_grid(cells: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """(key, r, c, text) of every place of the least grid that holds all cells (key, r, c, text[, rs, cs]); of cells in one place the last by `order` counts, and a place without one is blank."""
+    span = lambda at, n: F.max(F.col(at) + (F.col(n) if n in cells.columns else F.lit(1)))
+    size = cells.groupBy(key).agg(span("r", "rs").alias("_nr"), span("c", "cs").alias("_nc"))
+    one = cells.groupBy(key, "r", "c").agg(F.max_by("text", order or "text").alias("text"))
+    places = size.where("_nr > 0 and _nc > 0").select(key, "_nc", F.explode(F.sequence(F.lit(0), F.col("_nr").cast("int") - 1)).alias("r"))
+    places = places.select(key, "r", F.explode(F.sequence(F.lit(0), F.col("_nc").cast("int") - 1)).alias("c"))
+    return places.join(one, [key, "r", "c"], "left").select(key, "r", "c", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def place(words: DataFrame, bounds: DataFrame, x: str = "cx") -> DataFrame:
     """Adds ci, the band with lo <= x < hi, or null; bounds of one kind are a dozen rows, sent to all executors."""
     b = F.broadcast(bounds.select("ci", "lo", "hi"))

@@ -120,12 +120,12 @@ def boxes(tables: DataFrame, rows: DataFrame) -> DataFrame:
     gaps = rows.withColumn("gap", F.lead("cy").over(w) - F.col("cy"))
     pitch = gaps.groupBy("table_id").agg(F.median("gap").alias("m"))
     fill = by_kind(F.col("kind"), {k: list(specs.FILL_COLUMNS.get(k) or range(len(specs.leaves(k)))) for k in specs.KINDS})
-    at = rows.join(tables.join(pitch, "table_id"), "table_id").withColumn("edges", edges(F.col("kind"), F.col("width"))).withColumn("c", F.explode(fill))
-    half = HALF_ROW * F.coalesce("m", 0.05 * F.col("height"))
-    box = F.struct(
-        (F.get("edges", F.col("c")) + F.col("x0")).cast("int").alias("x0"), ((F.col("cy") - half).cast("int") + F.col("y0")).cast("int").alias("y0"),
-        (F.get("edges", F.col("c") + 1) + F.col("x0")).cast("int").alias("x1"), ((F.col("cy") + half).cast("int") + F.col("y0")).cast("int").alias("y1"),
-    )
+    bounds = edges(F.col("kind"), F.col("width"))
+    columns = F.transform(fill, lambda c: F.struct(c.alias("c"), F.get("edges", c).alias("lo"), F.get("edges", c + 1).alias("hi")))
+    sized = tables.join(pitch, "table_id", "left").withColumns({"edges": bounds, "half": HALF_ROW * F.coalesce("m", 0.05 * F.col("height"))}).withColumn("columns", columns)
+    at = rows.join(sized.select("table_id", "kind", "x0", "y0", "half", "columns"), "table_id")
+    at = at.select("table_id", "kind", "r", "x0", ((F.col("cy") - F.col("half")).cast("int") + F.col("y0")).cast("int").alias("top"), ((F.col("cy") + F.col("half")).cast("int") + F.col("y0")).cast("int").alias("low"), F.inline("columns"))
+    box = F.struct((F.col("lo") + F.col("x0")).cast("int").alias("x0"), F.col("top").alias("y0"), (F.col("hi") + F.col("x0")).cast("int").alias("x1"), F.col("low").alias("y1"))
     return at.select("table_id", "kind", "r", "c", box.alias("box"))
 
 

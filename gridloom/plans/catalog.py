@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions import text as X
-from gridloom.operators import annotation, cache, cluster, ditto, forms, identity, inventory, kernels, layout, reconcile, score
+from gridloom.operators import annotation, cache, cluster, ditto, forms, identity, inventory, kernels, layout, reconcile, score, tables
 from gridloom.plans import duck as D
 from gridloom.plans import lenses as L
 from gridloom.plans import specs
@@ -337,24 +337,50 @@ def row_count_check(spark, sf):
     return score.row_counts(tables, cells, ["table_id"])
 
 
-MERGES = [(k, f"{g}:{i % 2}") for k in specs.KINDS for i, (_, g, _) in enumerate(specs.leaves(k)) if g]
-MERGES_GOT = [m for i, m in enumerate(MERGES) if i != 2] + [("kontrol", "A:B")]
+def _header_rows() -> list[tuple]:
+    """The header's cells by column: (kind, r, c, rs, cs, text, upright)."""
+    rows = []
+    for kind in specs.KINDS:
+        high = specs.HEADER_ROWS[kind]
+        upright = [u for _, what, *rest in specs.COLUMNS[kind] for u in ([x[2] for x in what] if isinstance(what, list) else rest)]
+        for at, (label, group, _) in enumerate(specs.leaves(kind)):
+            if group:
+                rows.append((kind, 1, at, 1, 1, label, upright[at]))
+            elif (kind, at) == ("podschet", 0):
+                rows += [(kind, 0, 0, 1, 1, specs.TITLES[kind], False), (kind, 1, 0, 1, 1, label, False)]
+            else:
+                rows.append((kind, 0, at, 1 if (kind, at) == ("podschet", 4) else high, 1, label, upright[at] and (kind, at) != ("podschet", 4)))
+        for group in dict.fromkeys(g for _, g, _ in specs.leaves(kind) if g):
+            under = [i for i, (_, g, _) in enumerate(specs.leaves(kind)) if g == group]
+            rows.append((kind, 0, under[0], 1, len(under), group, False))
+        rows += [(kind, high, i, 1, 1, str(n), False) for i, n in enumerate(specs.GRAPH_NUMBERS.get(kind, ()))]
+    return rows
+
 
+HEADER_NAMES = "h(kind, r, c, rs, cs, text, upright)"
+HEADERS = "(SELECT kind, chr(CAST(65 + c AS INTEGER)) || (r + 1) || ':' || chr(CAST(65 + c + cs - 1 AS INTEGER)) || (r + rs) AS item FROM headers WHERE rs > 1 OR cs > 1)"
 
-@query(f"""WITH a AS (SELECT DISTINCT * FROM {D.values(MERGES, 'm(kind, item)')}), b AS (SELECT DISTINCT * FROM {D.values(MERGES_GOT, 'm(kind, item)')})
-SELECT kind, bool_and(a.item IS NOT NULL AND b.item IS NOT NULL) AS same FROM a FULL JOIN b USING (kind, item) GROUP BY kind""")
+
+@query(f"""WITH headers AS (SELECT * FROM {D.values(_header_rows(), HEADER_NAMES)}), t AS (SELECT n_nationkey AS n, kind, item FROM nation, {HEADERS} WHERE NOT (n_nationkey % 3 = 1 AND item = 'B1:C1') UNION ALL SELECT n_nationkey, 'kontrol', NULL FROM nation),
+g AS (SELECT n_nationkey AS n, kind, item FROM nation, {HEADERS} WHERE n_nationkey % 4 <> 2 UNION ALL SELECT n_nationkey, 'kontrol', 'A1:A2' FROM nation WHERE n_nationkey % 5 = 0), w AS (SELECT DISTINCT n, kind FROM t)
+SELECT CAST(w.n AS VARCHAR) AS borehole, w.kind, coalesce(list_sort((SELECT list(DISTINCT item) FROM t WHERE t.n = w.n AND t.kind = w.kind AND item IS NOT NULL)), []) = coalesce(list_sort((SELECT list(DISTINCT item) FROM g WHERE g.n = w.n AND g.kind = w.kind)), []) AS same FROM w""")
 def merges_match(spark, sf):
-    make = lambda rows: spark.createDataFrame(rows, "kind string, item string")
-    return score.same_sets(make(MERGES), make(MERGES_GOT), "kind", "item")
+    header = sheets.header_cells(spark)
+    ranges = sheets.merges(header.withColumn("sheet", F.lit("")).where("rs > 1 or cs > 1")).drop("sheet")
+    n = L.table(spark, sf, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_nationkey").cast("string").alias("borehole"))
+    each = n.join(F.broadcast(ranges))
+    truth = each.where("not (n % 3 = 1 and item = 'B1:C1')").select("borehole", "kind", "item").unionAll(n.select("borehole", F.lit("kontrol"), F.lit(None)))
+    got = each.where("n % 4 <> 2").select("borehole", "kind", "item").unionAll(n.where("n % 5 = 0").select("borehole", F.lit("kontrol"), F.lit("A1:A2")))
+    return score.merges_match(truth, got)
 
 
-NUMBERS_GOT = {"journal_left": tuple(range(1, 9)), "sampling_right": tuple(range(9, 18)), "kontrol": ()}
-NUMBER_ROWS = [(k, list(specs.GRAPH_NUMBERS.get(k, ())), list(NUMBERS_GOT.get(k, ()))) for k in specs.KINDS]
+NUMBERS_GOT = [(k, list(v)) for k, v in specs.GRAPH_NUMBERS.items()] + [("sampling_right", list(range(9, 18))), ("kontrol", []), ("kontrol", [1]), ("гр1-8", [1])]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({D.q(k)}, {a == b})" for k, a, b in NUMBER_ROWS) + ") AS v(kind, same)")
+@query("WITH own AS (SELECT * FROM (VALUES " + ", ".join(f"({D.q(k)}, {list(specs.GRAPH_NUMBERS.get(k, ()))}::INTEGER[])" for k in specs.KINDS) + ") AS v(kind, own)), got AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {D.q(k)}, {n}::INTEGER[])" for i, (k, n) in enumerate(NUMBERS_GOT)) + ") AS v(i, kind, numbers)) SELECT i, kind, coalesce(own = numbers, false) AS same FROM got LEFT JOIN own USING (kind)")
 def graph_numbers_match(spark, sf):
-    return spark.createDataFrame(NUMBER_ROWS, "kind string, own array<int>, got array<int>").select("kind", (F.col("own") == F.col("got")).alias("same"))
+    got = spark.createDataFrame([(i, *x) for i, x in enumerate(NUMBERS_GOT)], "i int, kind string, numbers array<int>")
+    return score.numbers_match(got).drop("numbers")
 
 
 KIND_KEYS = [(k, i, len(specs.leaves(k)), w) for i, k in enumerate(specs.KINDS) for w in specs.KEYWORDS[k]]
@@ -364,10 +390,8 @@ KIND_KEYS = [(k, i, len(specs.leaves(k)), w) for i, k in enumerate(specs.KINDS)
   SELECT doc_id, r, kind, any_value(pos) AS pos, count(*) FILTER (contains(lower(line), kw)) AS hits FROM lines JOIN k ON ncols = abs(doc_id + r) % 8 + 3 GROUP BY doc_id, r, kind)
 SELECT doc_id, r, arg_min(kind, {{'h': -hits, 'p': pos}}) AS kind, max(hits) AS hits FROM s GROUP BY doc_id, r""")
 def kind_detect(spark, sf):
-    ks = spark.createDataFrame([(k, i, len(specs.leaves(k)), list(specs.KEYWORDS[k])) for i, k in enumerate(specs.KINDS)], "kind string, pos int, ncols int, kws array<string>")
-    at = L.lines(spark, sf).withColumn("ncols", (F.abs(F.col("doc_id") + F.col("r")) % 8 + 3).cast("int")).join(F.broadcast(ks), "ncols")
-    hits = F.size(F.filter("kws", lambda w: F.contains(F.lower("line"), w))).cast("long")
-    return at.withColumn("hits", hits).groupBy("doc_id", "r").agg(F.min_by("kind", F.struct(-F.col("hits"), F.col("pos"))).alias("kind"), F.max("hits").alias("hits"))
+    at = L.lines(spark, sf).withColumn("ncols", (F.abs(F.col("doc_id") + F.col("r")) % 8 + 3).cast("int"))
+    return layout.detect_kind(at, ["doc_id", "r"], "line", "ncols")
 
 
 # Objects, identity, sheets
@@ -555,10 +579,8 @@ def annotation_normalize(spark, sf):
 @query(f"""WITH {L.ENGINES}, s AS (SELECT table_id, r, c, max(q) AS text FROM engines GROUP BY table_id, r, c), d AS (SELECT table_id, max(r) AS nr, max(c) AS nc FROM s GROUP BY table_id)
 SELECT d.table_id, g.r, h.c, coalesce(s.text, '') AS text FROM d, range(1000) AS g(r), range(4) AS h(c) LEFT JOIN s ON s.table_id = d.table_id AND s.r = g.r AND s.c = h.c WHERE g.r <= nr AND h.c <= nc""".replace("FROM d, range(1000) AS g(r), range(4) AS h(c) LEFT JOIN s ON", "FROM d JOIN range(1000) AS g(r) ON g.r <= nr JOIN range(4) AS h(c) ON h.c <= nc LEFT JOIN s ON").replace(" WHERE g.r <= nr AND h.c <= nc", ""))
 def dense_grid_sparse_cells(spark, sf):
-    s = L.engines(spark, sf).groupBy("table_id", "r", "c").agg(F.max("q").alias("text"))
-    size = s.groupBy("table_id").agg(F.max("r").alias("nr"), F.max("c").alias("nc"))
-    dense = size.withColumn("r", F.explode(F.sequence(F.lit(0), "nr"))).withColumn("c", F.explode(F.sequence(F.lit(0), "nc")))
-    return dense.join(s, ["table_id", "r", "c"], "left").select("table_id", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.coalesce("text", F.lit("")).alias("text"))
+    found = layout.dense_grid(L.engines(spark, sf).select("table_id", "r", "c", F.col("q").alias("text")), "table_id")
+    return found.withColumns({"r": F.col("r").cast("long"), "c": F.col("c").cast("long")})
 
 
 LABEL_ROWS = [(k, r, label, (specs.UNITS.get(k) or ("",) * 9)[r]) for k, labels in specs.ROW_LABELS.items() for r, label in enumerate(labels)]
@@ -568,26 +590,27 @@ LABEL_ROWS = [(k, r, label, (specs.UNITS.get(k) or ("",) * 9)[r]) for k, labels
 SELECT t.table_id, CAST(l.r AS INTEGER) AS r, CAST(c.c AS INTEGER) AS c, CASE c.c WHEN 0 THEN label WHEN 1 THEN unit ELSE CASE WHEN c.c IN (2, 3) THEN coalesce(x.q, '') ELSE '' END END AS text
 FROM t CROSS JOIN l CROSS JOIN range(5) AS c(c) LEFT JOIN x ON x.table_id = t.table_id AND x.r = l.r AND x.c = c.c""")
 def labelled_sheet_cells(spark, sf):
-    labels = F.broadcast(spark.createDataFrame([x[1:] for x in LABEL_ROWS if x[0] == "podschet"], "r int, label string, unit string"))
-    e = L.engines(spark, sf).groupBy("table_id", "r", "c").agg(F.max("q").alias("q"))
-    frame = e.select("table_id").distinct().join(labels).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    c = F.col("c")
-    text = F.when(c == 0, F.col("label")).when(c == 1, F.col("unit")).when(c.isin(*specs.FILL_COLUMNS["podschet"]), F.coalesce("q", F.lit(""))).otherwise(F.lit(""))
-    return frame.join(e, ["table_id", "r", "c"], "left").select("table_id", "r", "c", text.alias("text"))
+    e = L.engines(spark, sf).groupBy(F.col("table_id").alias("sheet"), "r", "c").agg(F.max("q").alias("text"), F.lit(None).cast("double").alias("conf"))
+    found = sheets.labelled(e.select("sheet", F.lit("podschet").alias("kind")).distinct(), e)
+    return found.select(F.col("sheet").alias("table_id"), "r", "c", "text")
 
 
 @query(f"WITH r AS ({reconciled('journal_left', 'hybrid')}) SELECT table_id, r, c, CASE WHEN conf < 0.55 THEN 'orange' WHEN text = '-ll-' THEN 'yellow' ELSE 'none' END AS fill FROM r")
 def low_conf_fill_class(spark, sf):
     at = reconcile.cells(L.engines(spark, sf), "journal_left")
-    fill = F.when(F.col("conf") < specs.LOW_CONF, F.lit("orange")).when(F.col("text") == "-ll-", F.lit("yellow")).otherwise(F.lit("none"))
+    fill = F.coalesce(sheets.fill_of(F.col("conf"), F.col("text")), F.lit("none"))
     return at.select("table_id", "r", "c", fill.alias("fill"))
 
 
-@query("WITH l AS (SELECT doc_id AS page, lang, doc_id // 20 AS p, CAST(doc_id * 7919 % 300 AS INTEGER) AS y0, CAST(doc_id * 104729 % 500 AS INTEGER) AS x0 FROM documents) SELECT p AS page_id, count(*) AS n_lines FROM l GROUP BY p")
+@query("""WITH RECURSIVE l AS (SELECT doc_id // 20 AS p, doc_id AS line, CAST(doc_id * 7919 % 300 AS INTEGER) AS y0, CAST(doc_id * 104729 % 500 AS INTEGER) AS x0 FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY y0, x0, line) AS i FROM l),
+b AS (SELECT p, i, line, x0, y0 AS anchor, 0 AS band FROM n WHERE i = 1 UNION ALL
+  SELECT n.p, n.i, n.line, n.x0, CASE WHEN abs(n.y0 - anchor) > 14 THEN n.y0 ELSE anchor END, band + CASE WHEN abs(n.y0 - anchor) > 14 THEN 1 ELSE 0 END FROM b JOIN n ON n.p = b.p AND n.i = b.i + 1)
+SELECT p AS page_id, line AS line_id, band, CAST(row_number() OVER (PARTITION BY p ORDER BY band, x0, line) - 1 AS INTEGER) AS place FROM b""")
 def reading_order_lines(spark, sf):
     k = F.col("doc_id")
     at = L.table(spark, sf, "documents").select(F.floor(k / 20).cast("long").alias("page_id"), k.alias("line_id"), (k * 7919 % 300).cast("int").alias("y0"), (k * 104729 % 500).cast("int").alias("x0"))
-    return cluster.lines_by_first(at, ["page_id"], 14).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    return cluster.lines_by_first(at, ["page_id"], 14).select("page_id", "line_id", "band", "place")
 
 
 # Kernels on tiles
@@ -621,24 +644,7 @@ def stream_row_sessions(spark, sf):
 # Sheets, bands and replies
 
 
-def _header_rows() -> list[tuple]:
-    rows = []
-    for kind in specs.KINDS:
-        high, at = specs.HEADER_ROWS[kind], 0
-        for label, group, _ in specs.leaves(kind):
-            if group:
-                rows.append((kind, 1, at, 1, 1, label))
-            else:
-                rows.append((kind, 0, at, high, 1, label))
-            at += 1
-        for group in dict.fromkeys(g for _, g, _ in specs.leaves(kind) if g):
-            under = [i for i, (_, g, _) in enumerate(specs.leaves(kind)) if g == group]
-            rows.append((kind, 0, under[0], 1, len(under), group))
-        rows += [(kind, high, i, 1, 1, str(n)) for i, n in enumerate(specs.GRAPH_NUMBERS.get(kind, ()))]
-    return rows
-
-
-@query("SELECT * FROM " + D.values(_header_rows(), "h(kind, r, c, rs, cs, text)"))
+@query("SELECT * FROM " + D.values(_header_rows(), HEADER_NAMES))
 def sheet_header_merges(spark, sf):
     return sheets.header_cells(spark)
 
@@ -646,7 +652,7 @@ def sheet_header_merges(spark, sf):
 @query(f"""WITH {L.ENGINES}, d AS (SELECT 's' || CAST(table_id AS VARCHAR) AS sheet, r, c, max(q) AS text, min(y_conf) AS conf FROM engines GROUP BY table_id, r, c),
 up AS (SELECT DISTINCT sheet FROM d WHERE r = 0 AND c = 0 AND {D.strict('text')} <> '' AND NOT regexp_matches({D.strict('text')}, '^[{D.DIGIT}]+$'))
 SELECT sheet, r - CASE WHEN up.sheet IS NULL THEN 0 ELSE 1 END + 3 AS r, c, text, CASE WHEN conf < 0.55 THEN 'orange' WHEN {D.ditto('text')} THEN 'yellow' END AS fill FROM d LEFT JOIN up USING (sheet) WHERE NOT (up.sheet IS NOT NULL AND r = 0)
-UNION ALL SELECT t.sheet, h.r, h.c, h.text, NULL FROM (SELECT DISTINCT sheet FROM d) AS t CROSS JOIN (SELECT * FROM {D.values(_header_rows(), 'h(kind, r, c, rs, cs, text)')} WHERE kind = 'journal_left') AS h""")
+UNION ALL SELECT t.sheet, h.r, h.c, h.text, NULL FROM (SELECT DISTINCT sheet FROM d) AS t CROSS JOIN (SELECT * FROM {D.values(_header_rows(), HEADER_NAMES)} WHERE kind = 'journal_left') AS h""")
 def sheet_cells_freeform(spark, sf):
     e = L.engines(spark, sf).groupBy("table_id", "r", "c").agg(F.max("q").alias("text"), F.min("y_conf").alias("conf"))
     cells = e.select(F.concat(F.lit("s"), F.col("table_id").cast("string")).alias("sheet"), F.lit("journal_left").alias("kind"), "r", "c", "text", "conf")
@@ -685,24 +691,21 @@ SELECT event_id, x1 - x0 AS w, y1 - y0 AS h, greatest(0, x1 - x0) * greatest(0,
 def box_area(spark, sf):
     n = F.col("event_id")
     w, h = n % 9 - 3, n % 11 - 2
-    return L.table(spark, sf, "events").select("event_id", w.alias("w"), h.alias("h"), (F.greatest(F.lit(0), w) * F.greatest(F.lit(0), h)).alias("area"))
-
-
-LEAF_ROWS = [(k, i, f"{g} — {label}" if g else label, len(specs.leaves(k)), sum(w for _, _, w in specs.leaves(k))) for k in specs.KINDS for i, (label, g, _) in enumerate(specs.leaves(k))]
+    box = F.struct((n % 50).alias("x0"), (n % 70).alias("y0"), (n % 50 + w).alias("x1"), (n % 70 + h).alias("y1"))
+    return L.table(spark, sf, "events").select("event_id", annotation.measures(box).alias("m")).select("event_id", "m.*")
 
 
-@query("SELECT * FROM " + D.values(LEAF_ROWS, "l(kind, ci, label, ncols, width)"))
+@query(f"SELECT kind, ci, coalesce(group_label || ' — ', '') || label AS label, count(*) OVER (PARTITION BY kind) AS ncols, CAST(sum(width) OVER (PARTITION BY kind) AS BIGINT) AS width FROM {SPEC_COLUMNS}")
 def leaf_labels(spark, sf):
-    whole = Window.partitionBy("kind")
-    label = F.concat_ws(" — ", "group_label", "label")
-    return layout.spec_columns(spark).select("kind", "ci", label.alias("label"), F.count(F.lit(1)).over(whole).alias("ncols"), F.sum("width").over(whole).alias("width"))
+    return layout.leaf_labels(layout.spec_columns(spark))
 
 
-@query("SELECT event_type AS text, count(*) AS n, round(avg(CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id % 100) / 100 END), 9) AS conf FROM events GROUP BY event_type")
+@query(f"""WITH l AS (SELECT event_id // 6 AS table_id, event_id // 3 % 2 AS r, 0 AS c, event_id % 3 AS line, event_type AS text, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id % 100) / 100 END AS conf FROM events)
+SELECT table_id, CAST(r AS INTEGER) AS r, c, {D.strip("string_agg(text, ' ' ORDER BY line)")} AS text, round(avg(conf), 9) AS conf FROM l GROUP BY table_id, r, c""")
 def mean_confidence(spark, sf):
     n = F.col("event_id")
-    conf = F.when(n % 4 != 0, (n % 100) / 100)
-    return L.table(spark, sf, "events").groupBy(F.col("event_type").alias("text")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(conf), 9).alias("conf"))
+    lines = L.table(spark, sf, "events").select(F.floor(n / 6).alias("table_id"), (F.floor(n / 3) % 2).cast("int").alias("r"), F.lit(0).alias("c"), (n % 3).alias("line"), F.col("event_type").alias("text"), F.when(n % 4 != 0, (n % 100) / 100).alias("conf"))
+    return tables.read_cells(lines).withColumn("conf", F.round("conf", 9))
 
 
 def queries() -> dict:

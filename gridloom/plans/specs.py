@@ -54,6 +54,7 @@ ROW_LABELS = {
 }
 UNITS = {"podschet": ("м", "-ll-", "-ll-", "мг-м куб.", "мг-м куб.")}
 FILL_COLUMNS = {"podschet": (2, 3), "pokazateli": (1, 2, 3)}
+TITLES = {"podschet": "Пробность золота: содержание олова проц."}  # in the first cell, over the column's label
 SIGNATURE_COLUMN = {"podschet": 5}
 WORD_PLACEMENT = ("podschet",)
 # Words that tell the tables apart.

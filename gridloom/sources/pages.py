@@ -18,6 +18,13 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}") -> Dat
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).dropDuplicates(["path"])
 
 
+def page_count(content: F.Column) -> F.Column:
+    """The pages of a file from the counts in its page tree, without rendering; 0 for a file that keeps them compressed."""
+    text = F.decode(content, "ISO-8859-1")
+    counts = F.transform(F.regexp_extract_all(text, F.lit(r"/Type\s*/Pages\b[^>]*?/Count\s+(\d+)|/Count\s+(\d+)[^>]*?/Type\s*/Pages\b"), F.lit(0)), lambda x: F.regexp_extract(x, r"/Count\s+(\d+)", 1).cast("int"))
+    return F.coalesce(F.array_max(counts), F.lit(0))
+
+
 def pages(listed: DataFrame, count: F.Column, only: list[int] | None = None) -> DataFrame:
     """(path, page) from 0 for each file; count gives a file's pages, `only` keeps some of them before any is rendered."""
     found = listed.select("path", F.explode(F.sequence(F.lit(0), count - 1)).alias("page"))
