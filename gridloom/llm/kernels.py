@@ -34,7 +34,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i modulo 2 ** 64 for i up to n."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = 1 << max(18, (n + 1).bit_length())
         both = []
         for b in (base, pow(base, -1, 2**64)):
             p = np.full(size, b, dtype=np.uint64)

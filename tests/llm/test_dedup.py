@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm import jaccard_join, kernels, line_dedup, substring_dedup
+from tests.llm.conftest import prose
 
 
 def repeated_lines(rows, least):
@@ -55,6 +56,23 @@ def test_lines_of_nothing(nothing):
     assert line_dedup.dedup(nothing).count() == 0
 
 
+def passages(texts, width=250, words=50):
+    """How many maximal runs of bytes under windows that occur twice have so many words."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(r[i : i + width] for r in raw for i in range(len(r) - width + 1))
+    out = []
+    for r in raw:
+        runs = []
+        for i in range(len(r) - width + 1):
+            if seen[r[i : i + width]] > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + width
+                else:
+                    runs.append([i, i + width])
+        out.append(sum(len(r[a:b].split()) >= words for a, b in runs))
+    return out
+
+
 def covered(texts, width):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + width] for r in raw for i in range(len(r) - width + 1))
@@ -71,18 +89,50 @@ def covered(texts, width):
 
 def test_substrings(spark, docs, folder):
     rows = docs.select("doc_id", "text").collect()
-    want = Counter((r["doc_id"], *w) for r, w in zip(rows, covered([r["text"] for r in rows], 400)))
+    texts = [r["text"] for r in rows]
+    want = Counter((r["doc_id"], *w, n, n > 0) for r, w, n in zip(rows, covered(texts, 400), passages(texts)))
     got = Counter(map(tuple, substring_dedup.op9_substring_dedup(spark, folder).collect()))
     assert got == want and sum(n * (k[2] > 0) for k, n in got.items()) > 15
 
 
-@pytest.mark.parametrize("most", [1, 3])
-def test_substrings_of_anchors_with_many_pieces(docs, most):
+@pytest.mark.parametrize(("most", "split"), [(1, 1), (3, 2), (1000, 1)])
+def test_substrings_of_anchors_with_many_contexts(docs, most, split):
     rows = docs.select("doc_id", "text").collect()
-    want = sorted(w[:2] for w in covered([r["text"] for r in rows], 120))
-    found = substring_dedup.removed(docs, width=120, gram=30, most=most).collect()
-    got = sorted((len((r["text"] or "").encode()), sum(b - a for a, b in substring_dedup.union_of(r["spans"] or []))) for r in found)
-    assert got == want
+    found = substring_dedup.removed(docs, width=120, least=80, gram=30, most=most, split=split).collect()
+    for width in (120, 80):
+        want = sorted(w[:2] for w in covered([r["text"] for r in rows], width))
+        size = [len((r["text"] or "").encode()) for r in found]
+        assert sorted((n, sum(b - a for a, b in substring_dedup.union_of(r["starts"], r["ends"], np.array(r["sizes"] or []), n, width))) for r, n in zip(found, size)) == want
+
+
+def test_substrings_of_periodic_text(spark):
+    """Contexts of one document that repeat at every step are one row, however long it is."""
+    rows = [(1, "abcdefghij klmno. " * 3000), (2, "x" * 5000), (3, "y" * 120), (4, "0123456789" * 30 + "k" * 130)]
+    found = substring_dedup.anchors([t.encode() for _, t in rows], 400, 250, 50)
+    assert len(found["doc"]) < 40
+    got = {r["doc_id"]: substring_dedup.union_of(r["starts"], r["ends"], np.array(r["sizes"] or []), len(r["text"]), 400) for r in substring_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(0, 54000)], 2: [(0, 5000)], 3: [], 4: []}
+
+
+def test_substrings_in_junk(spark):
+    """Words said over and over, in stretches of every length, with the same and with other texts about them, against brute force."""
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for i in range(90):
+        parts = []
+        for _ in range(r.randint(1, 6)):
+            word = r.choice(["de ", "a ", "on and ", "xyzzy, said he. "])
+            parts += [prose(r.randint(0, 3), r.randint(1, 30)), word * r.randint(1, 260 // len(word) + 20)]
+        rows.append((i, "".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = dict(rows)
+    for least, gram in ((80, 30), (120, 20)):
+        found = substring_dedup.removed(df, width=120, least=least, gram=gram, split=4).collect()
+        for width in {least, 120}:
+            want = sorted(w[:2] for w in covered(texts.values(), width))
+            assert sorted((len(r["text"]), sum(b - a for a, b in substring_dedup.union_of(r["starts"], r["ends"], np.array(r["sizes"] or []), len(r["text"]), width))) for r in found) == want
 
 
 def test_intervals():
