@@ -222,6 +222,37 @@ def test_dialogues(spark, tmp_path):
     assert sorted((tuple(r) for r in got), key=key) == sorted(con.execute(dialogue.SQL).df()[list(cols)].astype(object).where(lambda d: d.notna(), None).itertuples(index=False, name=None), key=key)
 
 
+def test_decoding_against_loops():
+    """The winner has the least trusted logistic loss against its codeword, bit by bit."""
+    import math
+
+    r = np.random.default_rng(5)
+    for n in (2, 3, 5, 9, 40):
+        codes = language_id.codewords(n)
+        assert len({tuple(c) for c in codes}) == n
+        model = language_id.Model([str(i) for i in range(n)], codes, None, None, None, r.random(codes.shape[1]) + 0.1)
+        f = r.normal(size=(30, codes.shape[1]))
+        best, p, q = language_id.decode(f, model)
+        for k in range(30):
+            loss = [sum(t * math.log1p(math.exp(-2 * x * c)) for t, x, c in zip(model.trust, f[k], code)) for code in codes]
+            weight = sorted((math.exp(-2 * x) for x in loss), reverse=True)
+            assert best[k] == int(np.argmin(loss)) and abs(p[k] - weight[0] / sum(weight)) < 1e-9 and abs(q[k] - weight[1] / sum(weight)) < 1e-9
+
+
+def test_counts_against_loops():
+    """Hashed trigrams of folded bytes, each counted once, whatever texts stand beside it."""
+    texts = ["Ab c", "", "é!!  9x", "the the"]
+    got = language_id.counts(texts)
+    for text, row in zip(texts, got):
+        raw = b"  " + text.lower().encode()
+        fold = lambda b: b if 97 <= b <= 122 or b >= 128 else 32
+        data = [fold(b) for b in raw] + [32, 32]
+        assert row.sum() == sum(not (data[i + 1] == 32 and data[i + 2] == 32) for i in range(len(raw)))
+        assert (language_id.counts([text])[0] == row).all()
+    whole = "ab " * 3000
+    assert [(i, len(t)) for i, t in language_id.chunks(["x"] * 600)] == [(0, 256), (256, 256), (512, 88)] and len(list(language_id.chunks([whole] * 200))) > 2
+
+
 @pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
 def test_recall_of_random_strings(alphabet):
     """Planted strings of 20 to 64 signs in a sentence, of each alphabet; nearly all are found, whole."""
