@@ -87,7 +87,8 @@ CODE_MAP = {
     "cл": "сл", "сл": "сл", "ca": "сл", "сa": "сл", "cа": "сл", "cл.": "сл",
     "6/o": "б/о", "б/о": "б/о", "6/о": "б/о", "b/o": "б/о", "6о": "б/о",
 }
-# Characters of repeat marks besides white space, and the further marks that scoring knows.
+# Characters of repeat marks besides white space, and the further marks that scoring knows. All but ASCII stand by
+# their numbers, as ranges, look-alikes and quotes can't be told apart or would end SQL text; both regular expression engines read these.
 DITTO_CHARACTERS = r"\-\x{2010}-\x{2015}_l\x{456}/\\\x{AB}\x{BB}\x{22}\x{27}\x{2019}\x{201C}\x{201D}\x{B7}."
 SCORED_DITTO = ("-ll-", ">>", "—''—", "—«—")
 # Secrets in logs, and what stands for them.

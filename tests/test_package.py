@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import ast
+import re
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__ as entry
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -31,3 +34,9 @@ def test_plans_keep_to_the_jvm_and_push_down(spark):
         assert "Python" not in plan and "InPandas" not in plan and "CartesianProduct" not in plan, name
     plan = entry.queries()["row_count_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,O)" in plan and "o_totalprice" not in plan
+
+
+@pytest.mark.parametrize(("name", "most"), [("grid_reconstruct", 1), ("fixed_row_anchor", 1), ("header_trim_footer_cut", 2), ("row_gap_cluster", 1)])
+def test_one_exchange_serves_all_windows(spark, name, most):
+    text = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\((?!kind)", text)) <= most, text
