@@ -17,6 +17,20 @@ DIGIT = r"[\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
 DITTO = "^[" + SPACE[1:-1] + specs.DITTO_CHARACTERS + "]{1,6}$"
 
 
+def literal(v) -> str:
+    """A value, or a list of values, as SQL text."""
+    if isinstance(v, (list, tuple)):
+        return f"array({', '.join(map(literal, v))})"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(v) + "D" * isinstance(v, float)
+
+
+def literal_map(values: dict) -> Column:
+    """A map of fixed values as one expression: made of literals one by one, it would take the driver longer to say than to look up."""
+    return F.expr(f"map({', '.join(literal(x) for kv in values.items() for x in kv)})")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -50,8 +64,7 @@ def norm_code(c: Column) -> Column:
     """The repaired code, or the text as it was."""
     t = F.regexp_replace(F.lower(strip(c)), "[ _]", "")
     t = F.regexp_replace(t, "^[.—–-]+|[.—–-]+$", "")
-    known = F.create_map(*[F.lit(x) for kv in specs.CODE_MAP.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, t), c)
+    return F.coalesce(F.try_element_at(literal_map(specs.CODE_MAP), t), c)
 
 
 def is_junk(c: Column) -> Column:

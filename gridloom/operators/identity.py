@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions import text as X
 from gridloom.plans import specs
 
 
@@ -41,8 +42,7 @@ def hole_hint(fields: DataFrame, keys: list[str], order: str = "ord") -> DataFra
 
 
 def sheet_name(kind: F.Column, hole: F.Column) -> F.Column:
-    known = F.create_map(*[F.lit(x) for kv in specs.SHEET_NAMES.items() for x in kv])
-    return F.concat(F.lit("скв"), hole.cast("string"), F.lit("_"), F.coalesce(F.try_element_at(known, kind), kind))
+    return F.concat(F.lit("скв"), hole.cast("string"), F.lit("_"), F.coalesce(F.try_element_at(X.literal_map(specs.SHEET_NAMES), kind), kind))
 
 
 def safe_name(name: F.Column) -> F.Column:

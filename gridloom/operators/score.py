@@ -57,7 +57,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def kind_of(name: F.Column) -> F.Column:
     """The kind that a truth file's name of an object means; an unknown name stays as it is."""
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in specs.TRUTH_KINDS.items() for x in kv]), name), name)
+    return F.coalesce(F.try_element_at(X.literal_map(specs.TRUTH_KINDS), name), name)
 
 
 def _objects(truth: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def truth_numbers(truth: DataFrame) -> DataFrame:
 
 def numbers_match(numbers: DataFrame) -> DataFrame:
     """Adds same: whether the printed numbers of the kind's columns are these, in order; false for a kind without any."""
-    own = F.try_element_at(F.create_map(*[x for k, v in specs.GRAPH_NUMBERS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("kind"))
+    own = F.try_element_at(X.literal_map(specs.GRAPH_NUMBERS), F.col("kind"))
     known = F.coalesce(own, F.when(F.col("kind").isin(*specs.KINDS), F.array().cast("array<int>")))
     return numbers.withColumn("same", F.coalesce(known == F.col("numbers"), F.lit(False)))
 

@@ -25,9 +25,8 @@ def by_kind(kind: Column, values: dict, otherwise=None) -> Column:
     """The value that a kind has in a table of fixed values."""
     if not values:
         return F.lit(otherwise)
-    lit = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, (list, tuple)) else F.lit(v)
-    found = F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), lit(v))]), kind)
-    return found if otherwise is None else F.coalesce(found, lit(otherwise))
+    found = F.try_element_at(X.literal_map(values), kind)
+    return found if otherwise is None else F.coalesce(found, F.lit(otherwise))
 
 
 def edges(kind: Column, width: Column) -> Column:
@@ -129,20 +128,20 @@ def boxes(tables: DataFrame, rows: DataFrame) -> DataFrame:
     return at.select("table_id", "kind", "r", "c", box.alias("box"))
 
 
-def recognise(words: DataFrame, tables: DataFrame, grid: DataFrame, engine: str = "hybrid", ink: DataFrame | None = None, crops: DataFrame | None = None, retries: DataFrame | None = None, tol: float = TOLERANCE) -> DataFrame:
+def recognise(words: DataFrame, tables: DataFrame, grid: DataFrame, engine: str = "hybrid", ink: DataFrame | None = None, crops: DataFrame | None = None, retries: DataFrame | None = None, tol: float = TOLERANCE, found: Placed | None = None) -> DataFrame:
     """(table_id, kind, r, c, box, text, source, conf, needs_review, q, reader_text, grid_text, expanded) of tables of all kinds.
 
     tables: (table_id, kind, width, height, x0, y0), where a table stands on its page. grid: the layout engine's
     (table_id, r, c, q), by place; its rows beyond those that geometry finds go, but with engine `layout` they
     alone count. ink: (table_id, r, c) of places with ink; without it, places with words have ink.
-    crops and retries: (table_id, r, c, text, conf) of single cells, read at first and again (see `inky_blanks`).
+    crops and retries: (table_id, r, c, text, conf) of single cells, read at first and again (see `inky_blanks`). found: what `place` makes of the words, if it is there.
     grid_text is the text with numbers blanked that the columns to the right repeat; expanded marks repeat marks with a value above.
     """
     on = ["table_id", "r", "c"]
     if engine == "layout":
         at = grid.join(tables.select("table_id", "kind"), "table_id").select(*on, "kind", F.lit(None).cast("struct<x0:int,y0:int,x1:int,y1:int>").alias("box"), "q", F.lit("").alias("y"), F.lit(None).cast("double").alias("y_conf"), F.lit(True).alias("ink"))
     else:
-        found = place(words, tol)
+        found = found or place(words, tol)
         dense = boxes(tables, whole_rows(tables, found))
         at = dense.join(found.slots, on, "left").join(grid.select(*on, "q"), on, "left")
         if crops is not None:

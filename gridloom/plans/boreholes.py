@@ -64,8 +64,9 @@ def run(
 
     own = at.where("route = 'table'").select("table_id", "kind", (F.col("x1") - F.col("x0")).cast("double").alias("width"), (F.col("y1") - F.col("y0")).cast("double").alias("height"), "x0", "y0", *(["ruled_rows"] if "ruled_rows" in objects.columns else []))
     placed = words.join(own.select("table_id", "kind", "width", "height"), "table_id").select("table_id", "kind", "width", "height", "word_id", "x0", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), "text", "conf")
-    cells = tables.recognise(placed, own, grid, engine, ink, **more)
-    rows = cells.select("table_id", "r").distinct() if engine == "layout" else tables.whole_rows(own, tables.place(placed, more.get("tol", tables.TOLERANCE)))
+    on_rows = None if engine == "layout" else tables.place(placed, more.pop("tol", tables.TOLERANCE))
+    cells = tables.recognise(placed, own, grid, engine, ink, found=on_rows, **more)
+    rows = tables.whole_rows(own, on_rows) if on_rows else cells.select("table_id", "r").distinct()
     figures = tables.summary(own, cells, rows, grid)
     cells = cells.join(named.drop("hole"), "table_id")
 
