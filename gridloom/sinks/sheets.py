@@ -154,10 +154,10 @@ def checked(sheets: DataFrame) -> DataFrame:
 
 
 def whole(result: boreholes.Result) -> DataFrame:
-    """(doc_id, sheet, kind, r, c, rs, cs, text, fill) of every sheet of a run: tables with headers, labels and blank rows, and forms."""
+    """(doc_id, sheet, kind, r, c, rs, cs, text, fill, upright) of every sheet of a run: tables with headers, labels and blank rows, and forms."""
     spark = result.cells.sparkSession
     key = F.concat_ws("\u0001", F.col("doc_id").cast("string"), "sheet")  # sheets of two documents may have one name
-    back = lambda df: df.select(F.split_part("sheet", F.lit("\u0001"), F.lit(1)).alias("doc_id"), F.split_part("sheet", F.lit("\u0001"), F.lit(2)).alias("sheet"), "kind", "r", "c", "rs", "cs", "text", "fill")
+    back = lambda df: df.select(F.split_part("sheet", F.lit("\u0001"), F.lit(1)).alias("doc_id"), F.split_part("sheet", F.lit("\u0001"), F.lit(2)).alias("sheet"), "kind", "r", "c", "rs", "cs", "text", "fill", "upright")
     cells = result.cells.select(key.alias("sheet"), "kind", "r", "c", F.col("grid_text").alias("text"), "conf", "expanded")
     tables_ = result.tables.select(key.alias("sheet"), "kind", "n_rows")
     forms = result.fields.select(key.alias("sheet"), "kind", "ord", "key", "value", "source", "needs_review")
@@ -187,7 +187,7 @@ def column_name(c: int) -> str:
 
 
 def workbook(sheets: list[tuple[str, list[tuple]]]) -> bytes:
-    """A workbook of (name, [(r, c, rs, cs, text, fill)]), all text, with nothing but the standard library."""
+    """A workbook of (name, [(r, c, rs, cs, text, fill[, upright])]), all text, with nothing but the standard library."""
     out = io.BytesIO()
     main, rel, pack = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006"
     styles = {name: i + 1 for i, name in enumerate(FILLS)}
@@ -205,11 +205,13 @@ def workbook(sheets: list[tuple[str, list[tuple]]]) -> bytes:
         put("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{pack}/relationships">{links}<Relationship Id="st" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
         fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in FILLS.values())
         xfs = '<xf numFmtId="0" fontId="0" fillId="0" borderId="0"/>' + "".join(f'<xf numFmtId="0" fontId="0" fillId="{i + 2}" borderId="0" applyFill="1"/>' for i in range(len(FILLS)))
-        put("xl/styles.xml", f'<styleSheet xmlns="{main}"><fonts count="1"><font/></fonts><fills count="{len(FILLS) + 2}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(FILLS) + 1}">{xfs}</cellXfs></styleSheet>')
+        xfs += '<xf numFmtId="0" fontId="0" fillId="0" borderId="0" applyAlignment="1"><alignment textRotation="90" wrapText="1"/></xf>'
+        put("xl/styles.xml", f'<styleSheet xmlns="{main}"><fonts count="1"><font/></fonts><fills count="{len(FILLS) + 2}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(FILLS) + 2}">{xfs}</cellXfs></styleSheet>')
         for i, (_, cells) in enumerate(sheets):
             rows: dict[int, list[str]] = {}
-            for r, c, _, _, text, fill in sorted(cells, key=lambda x: x[:2]):
-                style = f' s="{styles[fill]}"' if fill in styles else ""
+            for r, c, _, _, text, fill, *upright in sorted(cells, key=lambda x: x[:2]):
+                number = styles.get(fill) or (len(FILLS) + 1 if any(upright) else 0)
+                style = f' s="{number}"' if number else ""
                 rows.setdefault(r, []).append(f'<c r="{column_name(c)}{r + 1}"{style} t="inlineStr"><is><t xml:space="preserve">{escape(text or "")}</t></is></c>')
             body = "".join(f'<row r="{r + 1}">{"".join(cs)}</row>' for r, cs in sorted(rows.items()))
             merges = [f"{column_name(c)}{r + 1}:{column_name(c + cs - 1)}{r + rs}" for r, c, rs, cs, *_ in cells if rs > 1 or cs > 1]
@@ -224,8 +226,10 @@ def workbooks(cells: DataFrame) -> DataFrame:
     A document is one borehole file of some thousand cells, so it is a group in pandas.
     """
 
+    columns = ["r", "c", "rs", "cs", "text", "fill", *(["upright"] if "upright" in cells.columns else [])]
+
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        sheets = [(n, list(g[["r", "c", "rs", "cs", "text", "fill"]].itertuples(index=False, name=None))) for n, g in pdf.groupby("name", sort=True)]
+        sheets = [(n, list(g[columns].itertuples(index=False, name=None))) for n, g in pdf.groupby("name", sort=True)]
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "content": [workbook(sheets)]})
 
     return cells.groupBy("doc_id").applyInPandas(make, "doc_id string, content binary")

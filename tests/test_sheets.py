@@ -23,6 +23,9 @@ def test_workbook(spark):
     z = zipfile.ZipFile(io.BytesIO(sheets.workbook([("a&b", [(0, 0, 1, 2, "x < y", None), (1, 27, 1, 1, "z", "yellow")])])))
     body = z.read("xl/worksheets/sheet1.xml").decode()
     assert 'mergeCell ref="A1:B1"' in body and 'r="AB2" s="2"' in body and "x &lt; y" in body and "a&amp;b" in z.read("xl/workbook.xml").decode()
+    z = zipfile.ZipFile(io.BytesIO(sheets.workbook([("n", [(0, 0, 2, 1, "up", None, True), (0, 1, 1, 1, "flat", None, False), (0, 2, 1, 1, "bad", "orange", True)])])))
+    body, styles = z.read("xl/worksheets/sheet1.xml").decode(), z.read("xl/styles.xml").decode()
+    assert f'r="A1" s="{len(sheets.FILLS) + 1}"' in body and 'r="B1" t=' in body and 'r="C1" s="1"' in body and styles.count("textRotation") == 1
     df = spark.createDataFrame([("d", "n", 0, 0, 1, 1, "t", None), ("e", "n", 0, 0, 1, 1, "t", None)], "doc_id string, name string, r int, c int, rs int, cs int, text string, fill string")
     assert sheets.workbooks(df).count() == 2
 
