@@ -44,7 +44,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: Iterable[str | None], most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """(index of the first, texts) in runs of about `most` characters; null counts as empty."""
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):

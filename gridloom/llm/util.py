@@ -32,6 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sends 1,000 rows at once to Python where the session has Spark's own number: with long texts, ten times as many fill a worker's memory."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 def stash(df: DataFrame, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
     """Cuts the lineage of df by a Parquet table in the shared folder, which outlives lost executors.
 
@@ -39,6 +48,7 @@ def stash(df: DataFrame, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
     the others when the driver ends, or with `release`.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _STASHED:
@@ -117,6 +127,7 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
