@@ -1,8 +1,8 @@
 """The main text of web pages, by wrapper induction over the pages of a host.
 
 Each page becomes a tree of its structural elements; equal neighbours (paragraphs, list items) count as
-one repeated node. Every page of a host is aligned with the host's reference page by simple tree
-matching. A node that is aligned in at least `least_pages` different pages of the host and has the reference's text in at
+one repeated node. Every page of a host is aligned with the host's reference page, one of the most frequent
+outline, by simple tree matching. A node that is aligned in at least `least_pages` different pages of the host and has the reference's text in at
 least `constant` of them belongs to the template; other nodes are slots, which hold content. Pages with
 equal texts count once, so that mirrors of one page don't turn its article into template.
 
@@ -375,7 +375,8 @@ def close(stack: list[tuple[str, list]], depth: int) -> tuple:
 def templates(pages: DataFrame, constant: float = 0.8, least_pages: int = 5) -> DataFrame:
     """(host, outline, nodes array<int>) of each host: its reference's outline, and which of its nodes are template."""
     each = util.stash(skeletons(pages).groupBy("host", "whole").agg(F.min(F.struct("page_id", "outline", "digests")).alias("page")))
-    refs = each.groupBy("host").agg(F.min("page").alias("ref"))
+    outlines = each.groupBy("host", F.col("page.outline").alias("outline")).agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("page")).where("contains(outline, ' ')")  # more than a root
+    refs = outlines.groupBy("host").agg(F.max_by("page", F.struct("n", -F.coalesce("page.page_id", F.lit(-1)), "outline")).alias("ref"))
     refs = util.stash(refs.select("host", F.col("ref.outline").alias("ref"), F.col("ref.digests").alias("ref_digests")))
 
     def compare(batches):
@@ -389,7 +390,7 @@ def templates(pages: DataFrame, constant: float = 0.8, least_pages: int = 5) ->
                     at[1] += r.ref_digests[i] == r.digests[j]
             yield pd.DataFrame([(h, i, n, s) for (h, i), (n, s) in seen.items()], columns=["host", "node", "n", "same"])
 
-    rows = each.select("host", "page.outline", "page.digests").join(refs, "host")
+    rows = each.select("host", "page.outline", "page.digests").join(refs.hint("rebalance"), "host")
     found = rows.mapInPandas(compare, "host string, node int, n long, same long").groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
     nodes = found.where((F.col("n") >= least_pages) & (F.col("same") >= constant * F.col("n"))).groupBy("host").agg(F.collect_set("node").alias("nodes"))
     return refs.join(nodes, "host", "left").select("host", F.col("ref").alias("outline"), "ref_digests", F.coalesce("nodes", F.array().cast("array<int>")).alias("nodes"))
@@ -428,7 +429,7 @@ def main_text(pages: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     if (known.agg(size).first()[0] or 0) <= most_bytes:
         of = {r["host"]: (r["outline"], tuple(r["ref_digests"]), tuple(r["nodes"])) for r in known.toLocalIterator()}
         return hosted.mapInPandas(lambda batches: run(batches, of), schema)
-    joined = hosted.join(known, "host", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<int>")))
+    joined = hosted.join(known.hint("rebalance"), "host", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<int>")))
     return joined.mapInPandas(run, schema)
 
 
