@@ -12,17 +12,21 @@ deleted, the first stays. Only as many lines as decide this are compared: up to
 the next line on that is long enough by itself; longer runs are found from there. So a suffix has at most
 min_words + 1 lines, six doublings at most by default, whatever the corpus.
 
-Edge cases: null text stays null; white space at the end of a line doesn't count in comparing; blank
+Edge cases: null text stays null; spaces at the end of a line don't count in comparing; blank
 lines count as lines of one word; a document of which all lines go has the text ''. Rows that repeat
 id and text are one document and never copies of one another; of equal texts under several ids, the
-least id's stays; a null id stands before all others. Other columns are kept by `dedup`.
+least id's stays; a null id stands before all others. Other columns are kept by `dedup`, whatever
+their names: one named removed_lines makes the new column removed_lines_. An empty table gives no
+rows. `stage` treats each case alike, drops documents of which nothing is left, and keeps null and blank texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,13 +35,26 @@ from gridloom.llm import util
 MIN_WORDS = 50
 
 
+RANGES = 128  # of a sum over ordered counts: no task sums more rows than these, or one range
+
+
+def _before(counted: DataFrame, group: list[str], order: list[str], place: Column) -> DataFrame:
+    """Adds `before`, the sum of n of the rows of the same group that stand before each by `order`.
+
+    place, the number of a range, must not decrease along `order`; a group is summed by ranges, then within each.
+    """
+    counted = counted.withColumn("b", place)
+    within = F.sum("n").over(Window.partitionBy(*group, "b").orderBy(*order)) - F.col("n")
+    ranges = counted.groupBy(*group, "b").agg(F.sum("n").alias("m"))
+    ranges = ranges.select(*group, "b", (F.sum("m").over(Window.partitionBy(*group or [F.lit(0)]).orderBy("b")) - F.col("m")).alias("start"))
+    both = counted.withColumn("within", within).join(ranges if group else F.broadcast(ranges), [*group, "b"])
+    return both.withColumn("before", F.col("start") + F.col("within")).drop("b", "within", "start")
+
+
 def _ids(lines: DataFrame) -> DataFrame:
     """(h1, h2, rank) of each line that occurs more than once: the place where the array's suffixes begin with it."""
-    counted = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("b", F.shiftright("h1", 52))
-    within = F.sum("n").over(Window.partitionBy("b").orderBy("h1", "h2")) - F.col("n")
-    starts = counted.groupBy("b").agg(F.sum("n").alias("m"))  # 4,096 rows at most
-    starts = starts.select("b", (F.sum("m").over(Window.orderBy("b")) - F.col("m")).alias("start"))
-    return counted.withColumn("within", within).join(F.broadcast(starts), "b").select("h1", "h2", (F.col("start") + F.col("within") + 1).alias("rank"))
+    counted = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return _before(counted, [], ["h1", "h2"], F.shiftright("h1", 52)).select("h1", "h2", (F.col("before") + 1).alias("rank"))
 
 
 def _sequences(lines: DataFrame) -> DataFrame:
@@ -71,8 +88,8 @@ def _limits(min_words: int):
     return run
 
 
-def _double(docs: DataFrame, k: int) -> DataFrame:
-    """Adds r{k + 1}, the ranks of the first 2 ** (k + 1) lines (0: the suffix has fewer), to arrays r0 .. r{k}."""
+def _double(docs: DataFrame, k: int, top: int) -> DataFrame:
+    """Ranks are `top` at most. Adds r{k + 1}, the ranks of the first 2 ** (k + 1) lines (0: the suffix has fewer), to arrays r0 .. r{k}."""
     old, new, step = f"r{k}", f"r{k + 1}", 2**k
     pairs = docs.select("d", "th", F.posexplode(old).alias("i", "r"), "pos", old).select(
         "d", "th", "i", "r",
@@ -80,7 +97,7 @@ def _double(docs: DataFrame, k: int) -> DataFrame:
     )
     whole = pairs.where("r > 0 and s > 0")
     seen = whole.groupBy("r", "s").agg(F.count(F.lit(1)).alias("n"))
-    ranked = seen.select(F.col("r").alias("r_"), F.col("s").alias("s_"), (F.col("r") + F.sum("n").over(Window.partitionBy("r").orderBy("s")) - F.col("n")).alias("new"))
+    ranked = _before(seen, ["r"], ["s"], F.floor(F.col("s") / (top // RANGES + 1))).select(F.col("r").alias("r_"), F.col("s").alias("s_"), (F.col("r") + F.col("before")).alias("new"))
     named = whole.join(ranked.hint("rebalance"), (F.col("r") == F.col("r_")) & (F.col("s") == F.col("s_")))
     back = named.groupBy("d", "th").agg(F.collect_list(F.struct("i", "new")).alias("found"))
 
@@ -107,10 +124,10 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     schema = "d long, th long, pos array<long>, enough array<long>, most array<long>, r0 array<long>"
     at = util.stash(_sequences(lines).mapInPandas(_limits(min_words), schema).where(F.exists("enough", lambda x: x > 0)))
-    longest = at.agg(F.max(F.array_max("most"))).first()[0] or 0
-    levels = max(0, int(longest).bit_length() - 1)
+    longest, top = at.agg(F.max(F.array_max("most")), F.max(F.array_max("r0"))).first()
+    levels = max(0, int(longest or 0).bit_length() - 1)
     for k in range(levels):
-        at = util.stash(_double(at, k))
+        at = util.stash(_double(at, k, top), instead_of=[at])
 
     def prefixes(batches):
         """For each suffix that is long enough and each length to compare: the interval's name."""
@@ -152,19 +169,19 @@ def without(text: str, spans: list[list[int]]) -> str:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without later copies of repeated runs of lines; a column `removed_lines` lists the runs that went."""
+    d_, th_, spans_, cut_, removed = util.free(docs.columns, "d", "th", "spans", "cut", "removed_lines")
     d, th = util.key_of(F.col("doc_id"), F.col("text"))
-    found = copies(docs, min_words).withColumnsRenamed({"d": "d_", "th": "th_", "spans": "spans_"})
-    joined = docs.join(found, (d == F.col("d_")) & (th == F.col("th_")), "left").drop("d_", "th_")
+    found = copies(docs, min_words).withColumnsRenamed({"d": d_, "th": th_, "spans": spans_})
+    joined = docs.join(found, (d == F.col(d_)) & (th == F.col(th_)), "left")
 
-    def cut(batches):
-        for pdf in batches:
-            runs = [merged(s) if s is not None else [] for s in pdf["spans_"]]
-            pdf["text"] = [without(t, r) if r else t for t, r in zip(pdf["text"], runs)]
-            pdf["removed_lines"] = runs
-            yield pdf.drop(columns="spans_")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, spans in batches:
+            runs = [merged(s) if s is not None else [] for s in spans]
+            yield pd.DataFrame({"text": [without(t, r) if r else t for t, r in zip(text, runs)], "runs": runs})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInPandas(cut, f"{fields}, removed_lines array<array<long>>")
+    done = joined.withColumn(cut_, F.pandas_udf(cut, "text string, runs array<array<long>>")("text", spans_))
+    kept = [F.col(cut_)["text"].alias(c) if c.lower() == "text" else col for c, col in zip(docs.columns, util.named(docs.columns))]
+    return done.select(*kept, F.col(cut_)["runs"].alias(removed))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,9 +193,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies; a document of which nothing is left goes."""
-    cols = docs.columns
+    (removed,) = util.free(docs.columns, "removed_lines")
     left = dedup(docs)
-    return left.where((F.size("removed_lines") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")).select(*cols)
+    return left.where((F.size(removed) == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")).select(*util.named(docs.columns))
 
 
 SQL = r"""
