@@ -5,7 +5,7 @@ similarity. A run splits all sets along a path of sampled values: sets that agre
 `DEPTH` of them share a bucket; a bucket of more than `most` sets is split on further values of the path, up
 to `DEEPEST`. Runs are repeated until a pair at the threshold is found with probability
 `recall` (14 runs for 0.9999 at 0.8). Splitting parts pairs, but only pairs of which both sets were in a split bucket: these
-sets alone get as many further runs, over paths of `DEEPEST` values, as give `recall` at that depth (26 more, 40 in all). Inside a small bucket all pairs are compared by all their MinHash values, and those
+sets alone get as many further runs, over other choices of `DEEPEST` of their values, as give `recall` at that depth (see `choices_for`). Inside a small bucket all pairs are compared by all their MinHash values, and those
 that may reach the threshold are joined; what shares the whole path in a larger bucket is joined to its least
 member. The pairs to look at are those inside connected parts, which hold every pair so found.
 
@@ -32,13 +32,28 @@ from pyspark.sql import functions as F
 from gridloom.llm import kernels, util
 
 DEPTH, DEEPEST = 3, 7
-BLOCK = 400  # sets in a block of a part
+BLOCK, BLOCK_SHINGLES = 500, 500_000  # sets and shingles in a block of a part, about
 
 
 def runs_for(recall: float, similarity: float, depth: int = DEPTH) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)))
 
 
+def choices_for(recall: float, similarity: float, values: int) -> int:
+    """How many random choices of `DEEPEST` of two sets' MinHash values it takes until one agrees in all with probability `recall`.
+
+    Of the values k agree, binomially; a choice then agrees with the probability that all its places are among the k.
+    """
+    k = range(DEEPEST, values + 1)
+    chance = [math.comb(values, i) * similarity**i * (1 - similarity) ** (values - i) for i in k]
+    agree = [math.comb(i, DEEPEST) / math.comb(values, DEEPEST) for i in k]
+    few = 1 - sum(chance)
+    n = 1
+    while n < 1 << 12 and few + sum(c * (1 - a) ** n for c, a in zip(chance, agree)) > 1 - recall:
+        n += max(1, n // 16)
+    return n
+
+
 def seeds_for(runs: int) -> np.ndarray:
     return np.random.default_rng(4).integers(1, 2**63, runs * DEEPEST, dtype=np.uint64) | np.uint64(1)
 
@@ -97,31 +112,25 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
     return docs.select(*util.key_of(F.col("doc_id"), F.col("text")), "text").mapInPandas(run, schema)
 
 
-def deep_keys(keyed: DataFrame, runs: int, more: int) -> DataFrame:
-    """(d, key): a bucket of the whole path for each of `more` runs after the first `runs`, of rows (d, text)."""
-    seeds = seeds_for(runs + more)[runs * DEEPEST :]
+def deep_keys(nodes: DataFrame, values: int, choices: int) -> DataFrame:
+    """(d, key): a bucket for each of so many choices of `DEEPEST` of the values in the sketches of nodes (d, sketch)."""
+    rng = np.random.default_rng(44)
+    places = np.stack([rng.choice(values, DEEPEST, replace=False) for _ in range(choices)])
 
     def run(batches):
         for pdf in batches:
-            for first, texts in kernels.chunks(pdf["text"]):
-                each = sets(texts)
-                size = np.array([len(s) for s in each])
-                full = np.flatnonzero(size)
-                if not len(full):
-                    continue
-                data = np.concatenate([each[i] for i in full])
-                at = np.concatenate([[0], np.cumsum(size[full])[:-1]])
-                d = pdf["d"].to_numpy()[first : first + len(texts)][full]
-                for r in range(more):
-                    key = np.full(len(full), runs + r + 1, dtype=np.uint64)
-                    for s in seeds[r * DEEPEST : (r + 1) * DEEPEST]:
-                        key = kernels.mix(key * np.uint64(kernels.BASE) + kernels.mix(np.minimum.reduceat(data * s, at)))
-                    yield pd.DataFrame({"d": d, "key": _signed(key)})
+            for first in range(0, len(pdf), 1000):
+                part = pdf.iloc[first : first + 1000]
+                sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint16).reshape(len(part), -1).astype(np.uint64)
+                key = np.tile(np.arange(1, choices + 1, dtype=np.uint64), (len(part), 1))
+                for i in range(DEEPEST):
+                    key = kernels.mix(key * np.uint64(kernels.BASE) + sketch[:, places[:, i]])
+                yield pd.DataFrame({"d": np.repeat(part["d"].to_numpy(), choices), "key": _signed(key).ravel()})
 
-    return keyed.mapInPandas(run, "d long, key long")
+    return nodes.mapInPandas(run, "d long, key long")
 
 
-def _bucket_edges(docs: DataFrame, nodes: DataFrame, most: int, similarity: float, recall: float, runs: int) -> DataFrame:
+def _bucket_edges(nodes: DataFrame, most: int, similarity: float, recall: float, runs: int) -> DataFrame:
     """(u, v): members of each small bucket that may be similar, and of each bucket that stays large and its least member."""
     hashes = runs * DEEPEST
     least = similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / hashes)  # a pair at the threshold is below it about three times in 10 ** 6
@@ -161,12 +170,9 @@ def _bucket_edges(docs: DataFrame, nodes: DataFrame, most: int, similarity: floa
             if at.isEmpty():
                 break
             split = at if split is None else split
-    more = runs_for(recall, similarity, DEEPEST) - runs
-    if split is not None and more > 0:
-        hot = nodes.select("d", "th").join(split.select("d").distinct(), "d", "left_semi").distinct()
-        d, th = util.key_of(F.col("doc_id"), F.col("text"))
-        texts = docs.select(d.alias("d"), th.alias("th"), "text").join(hot, ["d", "th"], "left_semi")
-        deep = util.stash(deep_keys(texts.select("d", "text"), runs, more).distinct())  # rows that repeat an id and text hold one set
+    if split is not None:
+        hot = nodes.select("d", "sketch").join(split.select("d").distinct(), "d", "left_semi").dropDuplicates(["d"])  # rows that repeat an id and text hold one set
+        deep = util.stash(deep_keys(hot, hashes, choices_for(recall, similarity, hashes)))
         size = deep.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("d").alias("v")).where("size > 1").hint("rebalance")
         both = deep.join(size, "key")
         small = small.unionAll(both.where(f"size <= {most}").select("d", "key"))
@@ -207,14 +213,15 @@ def classes(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999, mo
     runs = runs_for(recall, similarity)
     own = util.stash(sketches(docs, runs))
     of_set = own.groupBy("h1", "h2", "n").agg(F.min("d").alias("m"), F.count(F.lit(1)).alias("copies")).hint("rebalance")  # dealt anew, so that the join can split a hot set
-    member = util.stash(own.select("d", "th", "n", "h1", "h2").join(of_set, ["h1", "h2", "n"]).select("d", "th", "m", "copies"))
+    member = util.stash(own.select("d", "th", "n", "h1", "h2").join(of_set, ["h1", "h2", "n"]).select("d", "th", "m", "copies", "n"))
     nodes = own.select("d", "th", "paths", "sketch").join(member.where("d = m").select("d", "th").distinct(), ["d", "th"], "left_semi")
 
-    part = util.stash(util.components(_bucket_edges(docs, nodes, most, similarity, recall, runs)).withColumnsRenamed({"id": "d", "component": "part"}).distinct())
-    blocks = part.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    todo = member.where("d = m").distinct().join(part, "d").join(blocks, "part").select("d", "th", "copies", "part", "blocks")
+    part = util.stash(util.components(_bucket_edges(nodes, most, similarity, recall, runs)).withColumnsRenamed({"id": "d", "component": "part"}).distinct())
+    sized = util.stash(member.where("d = m").distinct().join(part, "d").select("d", "th", "copies", "n", "part"))
+    blocks = sized.groupBy("part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    todo = sized.join(blocks.hint("rebalance"), "part").select("d", "th", "copies", "part", "blocks")
     key_d, key_th = util.key_of(F.col("doc_id"), F.col("text"))
-    texts = docs.select(key_d.alias("d"), key_th.alias("th"), "text").join(todo, ["d", "th"])
+    texts = docs.select(key_d.alias("d"), key_th.alias("th"), "text").join(todo.hint("merge"), ["d", "th"])  # the same way at every size
 
     def shingled(batches):
         for pdf in batches:
