@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, dialogue, embedding_join, jaccard_join, language_id, line_dedup, main_text, packing, secrets, substring_dedup
+from gridloom.llm import decontaminate, dialogue, embedding_join, jaccard_join, language_id, line_dedup, main_text, merkle, packing, ranked_search, secrets, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op4_ngram_jaccard_join": jaccard_join.SQL,
     "op6_embedding_near_dedup": embedding_join.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op11_ranked_search": ranked_search.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }

@@ -41,16 +41,16 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, "1000")
 
 
-def stash(df: DataFrame, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
+def stash(df: DataFrame, instead_of: Iterable[DataFrame] = (), by: str | None = None) -> DataFrame:
     """Cuts the lineage of df by a Parquet table in the shared folder, which outlives lost executors.
 
     The stashed tables in `instead_of`, which df alone still needed, are deleted once it is written;
-    the others when the driver ends, or with `release`.
+    the others when the driver ends, or with `release`. The column `by` parts the table into folders, so that a filter on it reads its own alone.
     """
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     if not _STASHED:
         atexit.register(release)
     _STASHED[path] = spark
