@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, dialogue, embedding_join, jaccard_join, language_id, line_dedup, main_text, merkle, packing, ranked_search, secrets, substring_dedup
+from gridloom.llm import decontaminate, dialogue, embedding_join, jaccard_join, language_id, line_dedup, main_text, merkle, packing, ranked_search, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
