@@ -165,15 +165,24 @@ def learned(bag: DataFrame, texts: tuple[int, int], least_ratio: float, rounds:
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, per_class: int = 6000, least_ratio: float = 15.0) -> Model:
     """Learns from documents (doc_id, text) with labels (doc_id, toxic) among the rows that `learnable` picks; see the module's text for the sample."""
-    rows = docs.select("doc_id", "text").join(labels.where("toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")), "doc_id")
-    rows = rows if learnable is None else rows.where(learnable)
-    n_by = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    told = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    told = (told if learnable is None else told.where(learnable)).distinct()
+
+    def by_class(rows: DataFrame) -> dict[int, int]:
+        return {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def sampled(rows: DataFrame, n_by: dict[int, int], column: str) -> DataFrame:
+        place = F.xxhash64(column, F.lit(12)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+        return rows.where(place < F.when(F.col("toxic") == 1, per_class / max(1, n_by.get(1, 0))).otherwise(per_class / max(1, n_by.get(0, 0))))
+
+    # The labels picked are about 2 * per_class at most, so they are sent to the texts, which aren't shuffled.
+    picked = F.broadcast(sampled(told, by_class(told), "doc_id"))
+    n_by = by_class(docs.select("doc_id").join(picked, "doc_id"))
     if len(n_by) < 2:
         return Model(b"", b"", None, float(n_by.get(1, 0) > 0))
-    place = F.xxhash64("doc_id", F.lit(12)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / n_by[1])).otherwise(min(1.0, per_class / n_by[0]))
+    rows = docs.select("doc_id", "text").join(picked, "doc_id")
     half = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2)).cast("int")
-    sample = util.stash(rows.where(place < share).select("text", "toxic", half.alias("half")))
+    sample = util.stash(sampled(rows, {k: n * 0.9 for k, n in n_by.items()}, "text").select("text", "toxic", half.alias("half")))  # fewer only where many rows repeat an id
 
     def held(batches):
         for pdf in batches:
