@@ -40,14 +40,16 @@ from gridloom.llm import kernels, util
 
 WIDTH, LEAST, GRAM = 400, 250, 50  # a string of 250 bytes is less than 50 words of prose
 WORDS = 50
+PLACE = 32  # bits of a place: a text has fewer bytes than 2 ** 31
 
 
 def least_places(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     """For each i, the places of the first and the last of the least of h[i : i + w]; for len(h) - w + 1 places i.
 
-    Places stand in the low bits of the hashes, whose high bits decide: equal strings have them in equal order.
+    Places stand in the low bits of the hashes, whose high bits decide: equal strings have them in equal order,
+    and as many high bits decide in every list of texts, long or short.
     """
-    low = np.uint64((1 << len(h).bit_length()) - 1)
+    low = np.uint64((1 << PLACE) - 1)
     place = np.arange(len(h), dtype=np.uint64)
 
     def least(best: np.ndarray) -> np.ndarray:
@@ -62,9 +64,9 @@ def least_places(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     return least(high | place).astype(np.int64), (low - least(high | (low - place))).astype(np.int64)
 
 
-def runs(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The maximal runs (starts, ends) that windows of this size cover, which begin at these places in order."""
-    first = np.flatnonzero(np.append(True, np.diff(starts) > size)) if len(starts) else np.empty(0, dtype=np.int64)
+def runs(starts: np.ndarray, size: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs (starts, ends) that windows of this size cover, which begin at these places in order; doc: the document of each, in which its run ends."""
+    first = np.flatnonzero(np.append(True, (np.diff(starts) > size) | (np.diff(doc) != 0))) if len(starts) else np.empty(0, dtype=np.int64)
     return starts[first], starts[np.append(first[1:], len(starts)) - 1] + size if len(starts) else first
 
 
@@ -91,7 +93,7 @@ def anchors(raw: list[bytes], width: int, least: int, gram: int) -> dict[str, np
     own = []
     x = np.flatnonzero(keep & (at != last))
     if len(x):
-        value = h >> np.uint64(len(h).bit_length())
+        value = h >> np.uint64(PLACE)
         place, of = np.unique(at[x], return_inverse=True)
         period = np.zeros(len(place), dtype=np.int64)  # to the next of equals
         todo = np.arange(len(place))
@@ -110,7 +112,8 @@ def anchors(raw: list[bytes], width: int, least: int, gram: int) -> dict[str, np
             y, q = x[fits], p[fits]
             same = kernels.span_hash(prefix, y, y + n) == kernels.span_hash(prefix, y + q, y + q + n)
             y, q = y[same], q[same]
-            a, b = runs(np.unique(np.concatenate([y, y + q])), n)
+            both = np.unique(np.concatenate([y, y + q]))
+            a, b = runs(both, n, np.searchsorted(begin, both, "right"))
             d = np.searchsorted(begin, a, "right") - 1
             own.append((d, a - begin[d], b - begin[d], np.full(len(a), n)))
         step = np.zeros(len(at) + least, dtype=np.int64)

@@ -114,6 +114,37 @@ def test_substrings_of_periodic_text(spark):
     assert got == {1: [(0, 54000)], 2: [(0, 5000)], 3: [], 4: []}
 
 
+@pytest.mark.parametrize("parts", [1, 5, 200])
+def test_substrings_end_with_their_document(spark, tmp_path, parts):
+    """Texts that end and begin with periodic stretches, several of them in one batch or each in its own, against all windows."""
+    import random
+
+    r = random.Random(8)
+    rows = [(0, prose(50, 20) + "-" * 900), (1, "=" * 900 + prose(51, 20)), (2, "=" * 399), (3, "-" * 401 + "x"), (4, "." * 401), (5, "." * 700 + "-" * 700)]
+    for i in range(60):
+        ends = [r.choice("-=.#*") * r.randint(0, 700) if r.random() < 0.8 else r.choice(["ab", "=-", "xyz "]) * r.randint(1, 300) for _ in range(2)]
+        rows.append((10 + i, ends[0] + prose(60 + i, r.randint(0, 12)) + ends[1]))
+    at = tmp_path / "documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(parts, "doc_id").write.parquet(str(at))
+    got = sorted(tuple(x)[:5] for x in substring_dedup.op9_substring_dedup(spark, str(tmp_path)).collect())
+    assert got == sorted((i, *w) for (i, _), w in zip(rows, covered([t for _, t in rows], 400)))
+
+
+def test_runs_of_many_small_texts():
+    """The windows that are repeats by themselves, of lists of short texts, against each window held against the one a period on."""
+    import random
+
+    r = random.Random(9)
+    for _ in range(60):
+        raw = [(r.choice("ab") * r.randint(0, 90) + "".join(r.choice("abc") for _ in range(r.randint(0, 30))) + r.choice("ab") * r.randint(0, 90)).encode() for _ in range(5)]
+        found = substring_dedup.anchors(raw, 40, 25, 5)
+        for doc, first, last, n, size in zip(*(found[k].tolist() for k in ("doc", "first", "last", "n", "c"))):
+            if n == 0:
+                assert 0 <= first < last <= len(raw[doc])
+                seen = Counter(raw[doc][i : i + size] for i in range(len(raw[doc]) - size + 1))
+                assert all(any(seen[raw[doc][i : i + size]] > 1 for i in range(max(first, x - size + 1), min(x, last - size) + 1)) for x in range(first, last))
+
+
 def test_substrings_in_junk(spark):
     """Words said over and over, in stretches of every length, with the same and with other texts about them, against brute force."""
     import random
