@@ -8,7 +8,9 @@ equal texts count once, so that mirrors of one page don't turn its article into
 
 The article is all of the page's outermost `article` (else `main`) elements in turn, or, without one, the slot that holds most of the text, down to where
 the text parts. Inside it, template nodes and what an element's name, role, class or id marks as a menu,
-header, footer, sidebar, notice, advert, form or readers' comments are left out, and all else is kept:
+header, footer, sidebar, notice, advert, form or readers' comments are left out, and all else is kept. Of an article's own header the headings stay.
+Parts of a class name, words that articles use as well (`DOUBTFUL`) and hidden elements mark what stands outside of an article; inside `article`
+and `main` a class name of such words alone, or the template, must say so:
 blocks in page order, white space inside each as one space. A line break is white space; a table row is a block.
 
 Per host, only the reference's outline and its template nodes are kept, of hosts that have any. They are sent to
@@ -25,6 +27,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split())
 NO_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-LEFT_OUT = frozenset("head script style noscript template iframe nav aside footer form button select option textarea input svg canvas object embed audio video menu dialog title link meta noembed noframes xmp".split())
+LEFT_OUT = frozenset("head header script style noscript template iframe nav aside footer form button select option textarea input svg canvas object embed audio video menu dialog title link meta noembed noframes xmp".split())
 SILENT = frozenset("script style noscript template link meta title input".split())  # stand inside a block without parting it
 DEEPEST = 200  # in outlines, elements below this depth count as part of what holds them; texts come from the whole tree
 MARKS = frozenset(
@@ -47,6 +50,8 @@ MARKS = frozenset(
     menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social related recommended recommendations pagination pager
     login search searchbox toolbar skip""".split()
 )
+DOUBTFUL = frozenset("skip search login alert social share sharing related recommended respond replies promo promotion banner widget widgets".split())
+NEUTRAL = frozenset("list box block section area container wrapper wrap inner form thread bar slot unit item items top bottom left right".split())
 WHOLE_MARKS = frozenset("header site-header page-header top-header siteheader pageheader".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
@@ -59,21 +64,27 @@ class Node:
         self.out = left_out(tag, attributes)
 
 
+SURE, OUTSIDE = 2, 1  # left out wherever it stands, or outside of articles
+
+
 @lru_cache(maxsize=20_000)
-def left_out(tag: str, attributes: str) -> bool:
-    """Whether name, role, class or id mark an element as no part of an article."""
+def left_out(tag: str, attributes: str) -> int:
+    """Whether name, role, class or id mark an element as no part of an article: `SURE`, `OUTSIDE` or 0."""
     if tag in LEFT_OUT:
-        return True
+        return SURE
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     low = attributes.lower()
     found = {m[1]: m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(low)}
-    if found.get("role") in ROLES or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTRIBUTE.sub("", low)) or "display:none" in found.get("style", "").replace(" ", ""):
-        return True
-    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
-        if name in WHOLE_MARKS or not MARKS.isdisjoint(re.split(r"[-_:]+", name)):
-            return True
-    return False
+    if found.get("role") in ROLES:
+        return SURE
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    parts = [set(filter(None, re.split(r"[-_:0-9]+", x))) for x in names]
+    if not WHOLE_MARKS.isdisjoint(names) or any(p <= MARKS | NEUTRAL and p & MARKS - DOUBTFUL for p in parts):
+        return SURE
+    if found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTRIBUTE.sub("", low)) or "display:none" in found.get("style", "").replace(" ", ""):
+        return OUTSIDE
+    return OUTSIDE if any(p & MARKS for p in parts) else 0
 
 
 def parse(page: str) -> Node:
@@ -196,27 +207,79 @@ def name(x: Node) -> str:
     return f"{x.tag}.{'.'.join(sorted(m[1].lower().split()))}" if m else x.tag
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1024)
 def align(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
     """(matched nodes, pairs of their places in preorder) of simple tree matching (Yang, 1991)."""
     if a[0] != b[0]:
         return 0, ()
+    if a == b:
+        n = count(a)
+        return n, tuple((i, i) for i in range(n))
     x, y = a[1], b[1]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + align(p, q)[0])
-    pairs, i, j = [(0, 0)], len(x), len(y)
     ax, by = places(x), places(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += [(ax[i] + s, by[j] + t) for s, t in align(x[i], y[j])[1]]
-    return 1 + best[-1][-1], tuple(pairs)
+    total, pairs = 1, [(0, 0)]
+    for i, j in matching(x, y):
+        n, below = align(x[i], y[j])
+        total += n
+        pairs += [(ax[i] + s, by[j] + t) for s, t in below]
+    return total, tuple(pairs)
+
+
+CELLS = 1 << 20  # of a table of siblings that is kept whole
+
+
+def matching(x: tuple, y: tuple) -> list[tuple[int, int]]:
+    """The places of siblings that are matched, in order, so that most nodes are.
+
+    Equal heads and tails match each other, which loses nothing. Of what is left a table is kept row by row; a large one is
+    halved where its best path crosses the middle row (Hirschberg, 1975), so that memory grows with the siblings alone.
+    """
+    head, n, m = 0, len(x), len(y)
+    while head < min(n, m) and x[head] == y[head]:
+        head += 1
+    while n > head and m > head and x[n - 1] == y[m - 1]:
+        n, m = n - 1, m - 1
+    kinds: dict[tuple, int] = {}
+    left = np.array([kinds.setdefault(k, len(kinds)) for k in x[head:n]], dtype=np.int64)
+    right = np.array([kinds.setdefault(k, len(kinds)) for k in y[head:m]], dtype=np.int64)
+    shapes = list(kinds)
+    columns, at = np.unique(right, return_inverse=True)
+    weights: dict[int, np.ndarray] = {k: np.array([align(shapes[k], shapes[q])[0] for q in columns.tolist()], dtype=np.int64) for k in set(left.tolist())}
+
+    def rows(i0: int, i1: int, cols: np.ndarray, step: int):
+        """The table's rows in turn, over siblings i0 to i1 and these columns, from the front or from behind."""
+        best = np.zeros(len(cols) + 1, dtype=np.int64)
+        for i in range(i0, i1) if step > 0 else range(i1 - 1, i0 - 1, -1):
+            w = weights[int(left[i])][cols]
+            now = best.copy()
+            np.maximum(best[1:], best[:-1] + w, out=now[1:])
+            best = np.maximum.accumulate(now)
+            yield best
+
+    def solve(i0: int, i1: int, j0: int, j1: int) -> list[tuple[int, int]]:
+        if i1 == i0 or j1 == j0:
+            return []
+        cols = at[j0:j1]
+        if i1 - i0 == 1 or (i1 - i0) * (j1 - j0) <= CELLS:
+            table = np.vstack([np.zeros((1, len(cols) + 1), dtype=np.int64), *rows(i0, i1, cols, 1)])
+            out, i, j = [], i1 - i0, j1 - j0
+            while i and j:
+                if table[i, j] == table[i - 1, j]:
+                    i -= 1
+                elif table[i, j] == table[i, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i0 + i, j0 + j))
+            return out[::-1]
+        middle = (i0 + i1) // 2
+        *_, above = rows(i0, middle, cols, 1)
+        *_, below = rows(middle, i1, cols[::-1], -1)
+        cut = j0 + int(np.argmax(above + below[::-1]))
+        return solve(i0, middle, j0, cut) + solve(middle, i1, cut, j1)
+
+    inner = [(head + i, head + j) for i, j in solve(0, n - head, 0, m - head)]
+    return [(i, i) for i in range(head)] + inner + [(n + i, m + i) for i in range(len(x) - n)]
 
 
 @lru_cache(maxsize=65_536)
@@ -254,8 +317,13 @@ def digests_of(members: list[list[Node]]) -> list[int]:
     return [own[id(m[0])] if len(m) == 1 else hash_text(",".join(str(own[id(x)]) for x in m)) for m in members]
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 def blocks(root: Node, skip: set[int]) -> list[str]:
     """The texts of blocks in order."""
+    article = root.tag in ("article", "main")
+    least = SURE if article else OUTSIDE
     out: list[str] = []
     run: list[str] = []
 
@@ -274,7 +342,10 @@ def blocks(root: Node, skip: set[int]) -> list[str]:
             run.append(c)
         elif c.tag in ("br", "wbr"):
             run.append(" " if c.tag == "br" else "")
-        elif c is not root and (c.out or id(c) in skip):
+        elif article and c.tag == "header" and id(c) not in skip:
+            flush()
+            todo += [None, *[x for h in reversed(preorder(c)) if h.tag in HEADINGS and not h.out and id(h) not in skip for x in (h, None)]]
+        elif c is not root and (c.out >= least or id(c) in skip):
             if c.tag not in INLINE and c.tag not in SILENT:
                 flush()
         elif c.tag in INLINE:

@@ -61,3 +61,40 @@ def test_templates_of_pages_without_marks(spark):
     assert len(known) == 1 and len(known[0]["nodes"]) >= 3  # the decisions are the template's
     alone = df.where("page_id in (2, 3)")
     assert all("Read on" in r["text"] and "rights" in r["text"] for r in main_text.main_text(alone).collect())  # too few pages to learn from
+
+
+def test_tree_matching_in_halves(monkeypatch):
+    monkeypatch.setattr(main_text, "CELLS", 2)
+    main_text.align.cache_clear()
+    r = random.Random(5)
+    for _ in range(200):
+        a, b = ("r", tuple(tree(r, 1) for _ in range(r.randint(0, 7)))), ("r", tuple(tree(r, 1) for _ in range(r.randint(0, 7))))
+        score, pairs = main_text.align(a, b)
+        assert score == most(a, b) == len(pairs)
+        assert all(p < q and s < t for (p, s), (q, t) in zip(pairs[1:], pairs[2:]))
+    main_text.align.cache_clear()
+
+
+def test_pages_of_very_many_siblings():
+    """50,000 siblings that don't fold, against 50,000 others: memory grows with the siblings."""
+    import time
+
+    r = random.Random(6)
+    pages = ["<body><div class=menu>m</div>" + "".join(f"<{(t := r.choice(['h2', 'p', 'ul', 'pre']))}>{i}</{t}>" for i in range(50_000)) + "</body>" for _ in range(2)]
+    began = time.time()
+    (one, _), (other, _) = (main_text.outline(main_text.parse(p)) for p in pages)
+    score, pairs = main_text.align(one, other)
+    assert score == len(pairs) > 20_000 and time.time() - began < 60
+    assert len(main_text.extract(pages[0], None, (), ()).split("\n")) == 50_000
+
+
+def test_headers_and_doubtful_words():
+    def text(page: str) -> str:
+        return main_text.extract(page, None, (), ())
+
+    assert text("<body><header>Site name and tag line</header><p>One two three.</p></body>") == "One two three."
+    assert text("<article><header><a>Home</a> <a>About</a></header><p>Text.</p></article>") == "Text."
+    assert text("<article><header><h1>Title</h1><p>by me</p><h2>Under <b>it</b></h2></header><p>Text.</p></article>") == "Title\nUnder it\nText."
+    kept = "".join(f"<section class='{c}'><p>{c} text</p></section>" for c in ("social-history", "skip", "search-methods", "related")) + "<p hidden>kept too</p>"
+    assert text(f"<article><p>A.</p>{kept}<div class='comments'>no</div><div class='ad'>no</div></article>") == "A.\nsocial-history text\nskip text\nsearch-methods text\nrelated text\nkept too"
+    assert text("<body><div class='social-links'>no</div><div class='search'>no</div><div><p>Some text that is long.</p></div></body>") == "Some text that is long."
