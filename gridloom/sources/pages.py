@@ -26,8 +26,8 @@ def page_count(content: F.Column) -> F.Column:
 
 
 def pages(listed: DataFrame, count: F.Column, only: list[int] | None = None) -> DataFrame:
-    """(path, page) from 0 for each file; count gives a file's pages, `only` keeps some of them before any is rendered."""
-    found = listed.select("path", F.explode(F.sequence(F.lit(0), count - 1)).alias("page"))
+    """(path, page) from 0 for each file; count gives a file's pages, of which one without a count has none; `only` keeps some of them before any is rendered."""
+    found = listed.select("path", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))).alias("page"))
     return found if only is None else found.where(F.col("page").isin(only))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import time
-from collections.abc import Callable
+from collections.abc import Awaitable, Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,12 +40,54 @@ def with_retries(call: Callable[[bytes], str], tries: int = 4, base: float = 2.0
     return run
 
 
-def recognise(requests: DataFrame, known: DataFrame, call: Callable[[bytes], str], tries: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(results of all requests, rows new to the cache): requests (key, image, ...), known (key, reply)."""
+class Pace:
+    """Lets calls begin at least 1 / per_second apart; None lets them begin at once."""
+
+    def __init__(self, per_second: float | None):
+        self.step, self.next = 1 / per_second if per_second else 0.0, 0.0
+
+    async def turn(self, sleep: Callable[[float], Awaitable]) -> None:
+        now = time.monotonic()
+        self.next = max(self.next, now) + self.step
+        if self.step and self.next - self.step > now:
+            await sleep(self.next - self.step - now)
+
+
+async def in_flight(images: list[bytes], call: Callable[[bytes], Awaitable[str]], most: int, pace: Pace, tries: int = 4, base: float = 2.0, longest: float = 30.0, sleep: Callable[[float], Awaitable] = asyncio.sleep) -> list[str | None]:
+    """The replies in the images' order, with up to `most` calls open at once; retries as in `with_retries`, each call waiting for its own alone."""
+    gate = asyncio.Semaphore(most)
+
+    async def one(image: bytes) -> str | None:
+        for attempt in range(tries):
+            async with gate:
+                await pace.turn(sleep)
+                try:
+                    return await call(image)
+                except Refused as e:
+                    if e.status not in RETRYABLE:
+                        return None
+                except OSError:
+                    pass
+            if attempt < tries - 1:
+                await sleep(min(base**attempt, longest))  # others take its place meanwhile
+        return None
+
+    return await asyncio.gather(*map(one, images))
+
+
+def recognise(requests: DataFrame, known: DataFrame, call: Callable[[bytes], str] | Callable[[bytes], Awaitable[str]], tries: int = 4, most: int = 16, per_second: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results of all requests, rows new to the cache): requests (key, image, ...), known (key, reply).
+
+    A coroutine function is called for up to `most` images of a task at once, at most `per_second` of a task; a service's whole
+    limit is that of a task times the tasks that run. A plain function is called for one image after another.
+    """
 
     def run(batches):
-        asked = with_retries(call, tries)
+        asked, pace = with_retries(call, tries), Pace(per_second)
         for pdf in batches:
+            if inspect.iscoroutinefunction(call):
+                yield pd.DataFrame({"key": pdf["key"], "reply": asyncio.run(in_flight([bytes(x) for x in pdf["image"]], call, most, pace, tries))})
+                continue
             yield pd.DataFrame({"key": pdf["key"], "reply": [asked(bytes(x)) for x in pdf["image"]]})
 
     fresh = cache.misses(requests, known).select("key", "image").mapInPandas(run, "key string, reply string").where("reply is not null")
