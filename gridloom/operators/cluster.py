@@ -66,23 +66,20 @@ def pitch(centre: DataFrame, keys: list[str], alone: Column | float) -> DataFram
 def lines_by_first(df: DataFrame, keys: list[str], tol: float) -> DataFrame:
     """Reading order of lines in bands anchored at their first y: adds band and place, from 0.
 
-    The anchor depends on all earlier lines, which no window frame can say, so each page is one group in pandas.
+    The anchor depends on all earlier lines, which no window frame can say: a page's lines, some hundreds, are folded in order, carrying the anchor.
     """
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, T.StructField("band", T.IntegerType()), T.StructField("place", T.IntegerType())])
-
-    def page(pdf):
-        pdf = pdf.sort_values(["y0", "x0", "line_id"], kind="stable")
-        bands, anchor, n = [], None, -1
-        for y in pdf["y0"]:
-            if anchor is None or abs(y - anchor) > tol:
-                anchor, n = y, n + 1
-            bands.append(n)
-        pdf = pdf.assign(band=bands).sort_values(["band", "x0", "line_id"], kind="stable")
-        return pdf.assign(place=range(len(pdf)))
-
-    return df.groupBy(*keys).applyInPandas(page, schema)
+    order = F.struct(F.col("y0").isNull().alias("n0"), F.col("y0").cast("double").alias("y"), F.col("x0").isNull().alias("n1"), "x0", F.col("line_id").alias("id"), F.struct(*df.columns).alias("row"))
+    page = df.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.array_sort(F.collect_list(order)).alias("lines"))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("bands"))
+
+    def step(acc: Column, line: Column) -> Column:
+        new = (acc["n"] < 0) | F.coalesce(F.abs(line["y"] - acc["anchor"]) > tol, F.lit(False))
+        n = F.when(new, acc["n"] + 1).otherwise(acc["n"])
+        return F.struct(F.when(new, line["y"]).otherwise(acc["anchor"]).alias("anchor"), n.alias("n"), F.concat(acc["bands"], F.array(n)).alias("bands"))
+
+    bands = F.aggregate("lines", start, step, lambda acc: acc["bands"])
+    placed = F.zip_with("lines", bands, lambda line, band: F.struct(band.alias("band"), line["n1"].alias("n1"), line["x0"].alias("x0"), line["id"].alias("id"), line["row"].alias("row")))
+    return page.select(F.posexplode(F.array_sort(placed)).alias("place", "line")).select("line.row.*", "line.band", "place")
 
 
 def uniform_bands(centre: DataFrame, keys: list[str], low: float = 0.55, high: float = 1.7) -> DataFrame:

@@ -103,9 +103,14 @@ def merges_match(truth: DataFrame, got: DataFrame) -> DataFrame:
 
 
 def of_borehole(named: DataFrame, boreholes: DataFrame) -> DataFrame:
-    """Rows of sheets (sheet, ...) with the borehole whose name and an underscore their sheet's name begins with; a truth without a name takes all."""
-    prefix = F.broadcast(boreholes.select("borehole").distinct())  # as many as truth files, which people write
-    return named.join(prefix, (F.col("borehole") == "") | F.startswith("sheet", F.concat("borehole", F.lit("_"))))
+    """Rows of sheets (sheet, ...) with the borehole whose name and an underscore their sheet's name begins with; a truth without a name takes all.
+
+    A sheet's name is cut at each of its underscores, so that this is a join by equality.
+    """
+    sheet = F.col("sheet")
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(sheet), F.lit(1))), lambda i: F.substring(sheet, i, F.lit(1)) == "_")
+    begins = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(ends, lambda i: F.substring(sheet, F.lit(1), i - 1))))
+    return named.withColumn("borehole", F.explode(begins)).join(boreholes.select("borehole").distinct(), "borehole").select(*named.columns, "borehole")
 
 
 def report(truth: DataFrame, cells: DataFrame, tables: DataFrame, merges: DataFrame) -> dict[str, DataFrame]:
@@ -133,17 +138,17 @@ def write_report(found: dict[str, DataFrame], path: str) -> None:
 
 
 def summary_lines(found: dict[str, DataFrame]) -> list[str]:
-    """A report as text. It has a row for each kind, so it is gathered."""
+    """A report as text. Boreholes are summed before anything is gathered, so there is a row for each kind."""
     share = lambda a, b: f"{a}/{b}={a / b:.1%}" if b else "-"
-    rows = {k: df.collect() for k, df in found.items()}
-    out = []
-    for r in sorted(rows["accuracy"], key=lambda r: (r["borehole"] is not None, r["kind"] is not None, str(r["borehole"]), str(r["kind"]))):
-        if r["kind"] is not None or r["borehole"] is None:
-            out.append(f"text {r['kind'] or 'all'}: strict {share(r['n_strict'], r['total'])}, fuzzy {share(r['n_fuzzy'], r['total'])}")
-    for r in sorted((r for r in rows["buckets"] if r["fixed"] is not None), key=lambda r: r["fixed"]):
+    sums = [F.sum(c).alias(c) for c in ("n_strict", "n_fuzzy", "total")]
+    all_ = found["accuracy"].where("borehole is null and kind is null").select(F.lit("all").alias("kind"), "n_strict", "n_fuzzy", "total").collect()
+    kinds = found["accuracy"].where("kind is not null").groupBy("kind").agg(*sums).orderBy("kind").collect()
+    out = [f"text {r['kind']}: strict {share(r['n_strict'], r['total'])}, fuzzy {share(r['n_fuzzy'], r['total'])}" for r in [*all_, *kinds]]
+    for r in found["buckets"].where("fixed is not null").orderBy("fixed").collect():
         out.append(f"{'fixed' if r['fixed'] else 'live'}: fuzzy {share(r['n_fuzzy'], r['total'])}")
-    out.append("rows: " + ", ".join(f"{r['kind']}={r['n_rows']}/{r['truth_rows']}" for r in sorted(rows["rows"], key=lambda r: (r["borehole"], r["kind"]))))
+    rows = found["rows"].groupBy("kind").agg(F.sum("n_rows").alias("n_rows"), F.sum("truth_rows").alias("truth_rows")).orderBy("kind").collect()
+    out.append("rows: " + ", ".join(f"{r['kind']}={r['n_rows']}/{r['truth_rows']}" for r in rows))
     for name in ("merges", "numbers"):
-        bad = sorted(r["kind"] for r in rows[name] if not r["same"])
+        bad = [r["kind"] for r in found[name].where("not same").select("kind").distinct().orderBy("kind").collect()]
         out.append(f"{name}: {'all match' if not bad else 'differ in ' + ', '.join(bad)}")
     return out

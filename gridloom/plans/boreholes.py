@@ -98,10 +98,16 @@ def run(
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     report = hints.join(objects_of, ["doc_id", "spread"], "left").join(sheets, ["doc_id", "spread"], "left")
     boreholes = report.select("doc_id", "spread", "position", "hole", "hint", "mismatch", "first_page", "last_page", zero("n_objects"), zero("n_sheets"))
+    documents = document_figures(boreholes, meta)
+    return Result(named.join(figures, "table_id").drop("table_id"), cells, fields, meta, boreholes, documents)
+
+
+def document_figures(boreholes: DataFrame, meta: DataFrame) -> DataFrame:
+    """(doc_id, n_boreholes, n_sheets, n_cells, n_review, n_mismatch) of each file."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     of_cells = meta.where("obj_type <> 'borehole_id'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if("needs_review").alias("n_review"))
     documents = boreholes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_boreholes"), F.sum("n_sheets").alias("n_sheets"), F.count_if("mismatch").alias("n_mismatch")).join(of_cells, "doc_id", "left")
-    documents = documents.select("doc_id", "n_boreholes", "n_sheets", zero("n_cells"), zero("n_review"), "n_mismatch")
-    return Result(named.join(figures, "table_id").drop("table_id"), cells, fields, meta, boreholes, documents)
+    return documents.select("doc_id", "n_boreholes", "n_sheets", zero("n_cells"), zero("n_review"), "n_mismatch")
 
 
 def _meta(df: DataFrame, **columns) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 
 import pytest
@@ -11,6 +12,7 @@ from gridloom import cli
 from gridloom.operators import identity, score, tables
 from gridloom.plans import boreholes, process, specs
 from gridloom.sinks import sheets
+from gridloom.streaming import boreholes as arriving
 
 OBJECTS = [
     ("d", 0, "L", "form_act", 0, 100, 800, 600), ("d", 0, "R", "form_journal", 0, 0, 800, 500), ("d", 0, "R", "podschet", 0, 500, 1000, 1900), ("d", 1, "L", "journal_left", 10, 20, 1010, 1420),
@@ -158,3 +160,53 @@ def test_files_and_score_commands(spark, file, tmp_path, capsys):
 
 def test_prompts():
     assert all(k in process.form_prompt("form_act") for k in specs.ACT_FIELDS) and "low_conf" in process.form_prompt("form_act")
+
+
+def rows(df):
+    return sorted(map(str, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect())))
+
+
+def arrive(spark, at, spreads, n):
+    spark.createDataFrame(spreads, "doc_id string, spread long").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return [spark.readStream.schema("doc_id string, spread long").option("maxFilesPerTrigger", n).parquet(f"{at}/in")]
+
+
+def test_boreholes_of_a_stopped_run(spark, file, result, tmp_path):
+    """A run is stopped in its second batch and goes on; figures come while it runs."""
+    pages, objects, *_ = file
+    for spreads in ([("d", 0)], [("d", 1), ("d", 0)], [("e", 0)]):
+        (stream,) = arrive(spark, tmp_path, spreads, 1)
+    calls, told, during = [], [], []
+
+    def stops(pages, objects):
+        """The second batch fails once its cells are written."""
+        calls.append(1)
+        found = dataclasses.replace(result)
+        if len(calls) == 2:
+            found.meta = found.meta.withColumn("text", F.raise_error(F.lit("stopped here")))
+        return found
+
+    listener = arriving.Progress()
+    spark.streams.addListener(listener)
+    try:
+        out, state = str(tmp_path / "out"), str(tmp_path / "state")
+        query = arriving.follow(stream, pages, objects, stops, out, state, told.append)
+        with pytest.raises(Exception, match="stopped here"):
+            query.awaitTermination()
+        assert [(f.done, f.total) for f in told] == [(1, 3)] and told[0].counts["cells"] > 0
+        half = arriving.finished(spark, out)
+        assert {(r["doc_id"], r["spread"]) for r in half.boreholes.collect()} == {("d", 0)}, "what a stopped batch has written doesn't count"
+        before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet") if "batch=0" in str(p)}
+
+        query = arriving.follow(stream, pages, objects, lambda pages, objects: result, out, state, lambda f: (told.append(f), during.append(bool(spark.streams.active))), "arriving_boreholes")
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [f.done for f in told] == [1, 2, 3] and told[-1].batch == 2 and during == [True, True], "figures come before the run ends"
+    assert all(set(f.counts) == {"cells", "tables", "fields", "meta", "boreholes", "review"} for f in told)
+    assert listener.spreads["arriving_boreholes"] == 2
+    after = arriving.finished(spark, out)
+    for part in boreholes.PARTS:
+        assert rows(getattr(after, part)) == rows(getattr(result, part)), part
+    assert before and all(p.stat().st_mtime_ns == t for p, t in before.items()), "nothing is written twice"

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from gridloom.plans import catalog, catalog_files  # noqa: F401  (the second adds to the first)
+from gridloom.plans import catalog, catalog_files, catalog_more  # noqa: F401  (they add to the first)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
