@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import annotation, score
+from gridloom.operators import annotation, score, tables
 from gridloom.plans import duck as D
 from gridloom.plans import lenses as L
 from gridloom.plans.catalog import CLUSTERS, query
@@ -104,3 +104,25 @@ def score_report(spark, sf):
     out = parts["accuracy"].select(F.lit("accuracy").alias("part"), "borehole", "kind", null("boolean").alias("fixed"), *[F.col(x).alias(y) for x, y in zip(shares, "abc")])
     out = out.unionByName(parts["buckets"].select(F.lit("buckets").alias("part"), null("string").alias("borehole"), null("string").alias("kind"), "fixed", *[F.col(x).alias(y) for x, y in zip(shares, "abc")]))
     return out.unionByName(parts["rows"].select(F.lit("rows").alias("part"), "borehole", "kind", null("boolean").alias("fixed"), F.col("truth_rows").cast("long").alias("a"), F.col("n_rows").cast("long").alias("b"), null("long").alias("c")))
+
+
+AGAIN = (" H3 ", "-//-", "  ", "12,5 м", "нc")
+
+
+@query(f"""WITH p AS (SELECT 't' || o_custkey AS table_id, o_orderkey AS r, [{', '.join(map(str, tables.RETRIED))}][o_orderkey % {len(tables.RETRIED)} + 1] AS c, o_orderkey % 10 AS k, o_orderkey % 3 = 0 AS has_text, o_orderkey % 4 > 0 AS ink,
+  CASE WHEN o_orderkey % 6 = 5 THEN o_orderpriority ELSE [{', '.join(map(D.q, AGAIN))}][o_orderkey % 5 + 1] END AS said, CASE WHEN o_orderkey % 7 > 0 THEN round(o_orderkey % 100 / 100, 2) END AS conf FROM orders),
+b AS (SELECT *, {D.clean("said")} AS base FROM p WHERE k < 9 AND NOT has_text AND ink)
+SELECT table_id, r, CAST(c AS INTEGER) AS c, CASE WHEN {D.ditto("base")} THEN '-ll-' WHEN c = 2 THEN {D.code("base")} ELSE base END AS text, conf, conf IS NULL AS needs_review FROM b WHERE base <> ''""")
+def second_readings(spark, sf):
+    """Places with ink and no text, or a dash for one, that are read again; those of other kinds, without ink or with text are not."""
+    o, key = L.table(spark, sf, "orders"), F.col("o_orderkey")
+    column = F.get(F.array(*[F.lit(c) for c in tables.RETRIED]), (key % len(tables.RETRIED)).cast("int"))
+    box = F.lit(None).cast("struct<x0:int,y0:int,x1:int,y1:int>").alias("box")
+    kind = F.when(key % 10 < 9, F.lit("sampling_right")).otherwise(F.lit("kontrol")).alias("kind")
+    places = o.select(F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("table_id"), kind, key.alias("r"), column.alias("c"), box, "o_orderpriority")
+    on, r = ["table_id", "r", "c"], F.col("r")
+    cells = places.where(r % 3 < 2).select(*on, F.when(r % 3 == 0, F.lit("1")).otherwise(F.lit(" ")).alias("text"))
+    ink = places.where(r % 4 > 0).select(*on)
+    said = F.when(r % 6 == 5, F.col("o_orderpriority")).otherwise(F.get(F.array(*map(F.lit, AGAIN)), (r % 5).cast("int")))
+    again = places.select(*on, said.alias("text"), F.when(r % 7 > 0, F.round(r % 100 / 100, 2)).alias("conf"))
+    return tables.retried(tables.inky_blanks(places.drop("o_orderpriority"), cells, ink), again).select(*on, "text", "conf", "needs_review")
