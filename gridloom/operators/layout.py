@@ -15,15 +15,17 @@ def spec_columns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(specs.column_rows(), "kind string, ci int, label string, group_label string, width int, frac double")
 
 
-def column_bounds(columns: DataFrame, width: float) -> DataFrame:
-    """(kind, ci, lo, hi): running shares of the width, rounded half to even; the last ends at the width."""
-    w = Window.partitionBy("kind").orderBy("ci").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("kind")
-    by = Window.partitionBy("kind").orderBy("ci")
-    hi = F.when(F.col("ci") == F.max("ci").over(whole), F.lit(int(width))).otherwise(F.bround(F.sum("frac").over(w) / F.col("total") * width).cast("int"))
+def column_bounds(columns: DataFrame, width: float | F.Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, kind, ci, lo, hi): running shares of the width, rounded half to even; the last ends at the width. keys tell apart tables whose width is a column."""
+    of = [*keys, "kind"]
+    w = Window.partitionBy(*of).orderBy("ci").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*of)
+    by = Window.partitionBy(*of).orderBy("ci")
+    end = width.cast("int") if isinstance(width, F.Column) else F.lit(int(width))
+    hi = F.when(F.col("ci") == F.max("ci").over(whole), end).otherwise(F.bround(F.sum("frac").over(w) / F.col("total") * width).cast("int"))
     # the total is the last running sum, added up in the same order
     at = columns.withColumn("run", F.sum("frac").over(w)).withColumn("total", F.last("run").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return at.withColumn("hi", hi).select("kind", "ci", F.coalesce(F.lag("hi").over(by), F.lit(0)).alias("lo"), "hi")
+    return at.withColumn("hi", hi).select(*of, "ci", F.coalesce(F.lag("hi").over(by), F.lit(0)).alias("lo"), "hi")
 
 
 def leaf_labels(columns: DataFrame) -> DataFrame:

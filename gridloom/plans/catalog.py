@@ -73,14 +73,23 @@ def column_band_assign(spark, sf):
     return layout.place(L.words(spark, sf), bounds(spark)).select("word_id", "ci")
 
 
-@query(f"""WITH s AS (SELECT *, sum(frac) OVER w AS run FROM {SPEC_COLUMNS} WINDOW w AS (PARTITION BY kind ORDER BY ci ROWS UNBOUNDED PRECEDING)), t AS (
-SELECT s.*, w, last_value(run) OVER (PARTITION BY kind, w ORDER BY ci ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total, max(ci) OVER (PARTITION BY kind, w) AS last FROM s, (VALUES (300), (1000), (1517)) AS v(w)),
+def kind_of(key: str) -> F.Column:
+    """A kind for each row of a table, by its key."""
+    return F.get(F.array(*map(F.lit, specs.KINDS)), (F.col(key) % len(specs.KINDS)).cast("int")).alias("kind")
+
+
+def kind_sql(key: str) -> str:
+    return f"[{', '.join(map(D.q, specs.KINDS))}][{key} % {len(specs.KINDS)} + 1]"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {kind_sql('p_partkey')} AS kind, 300 + 20 * p_size AS w FROM part), s AS (SELECT *, sum(frac) OVER w AS run FROM {SPEC_COLUMNS} WINDOW w AS (PARTITION BY kind ORDER BY ci ROWS UNBOUNDED PRECEDING)), t AS (
+SELECT s.*, w, last_value(run) OVER (PARTITION BY kind, w ORDER BY ci ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total, max(ci) OVER (PARTITION BY kind, w) AS last FROM s JOIN p USING (kind)),
 h AS (SELECT kind, w, ci, CAST(CASE WHEN ci = last THEN w ELSE round_even(run / total * w, 0) END AS INTEGER) AS hi FROM t)
 SELECT kind, w AS page_width, ci, coalesce(lag(hi) OVER (PARTITION BY kind, w ORDER BY ci), 0) AS lo, hi FROM h""")
 def column_bounds(spark, sf):
-    columns = layout.spec_columns(spark)
-    found = [layout.column_bounds(columns, w).select("kind", F.lit(w).alias("page_width"), "ci", "lo", "hi") for w in (300, 1000, 1517)]
-    return found[0].unionAll(found[1]).unionAll(found[2])
+    """Bounds for tables of every kind and width, widths from the sizes of `part`."""
+    own = L.table(spark, sf, "part").select(kind_of("p_partkey"), (300 + 20 * F.col("p_size")).alias("page_width")).distinct()
+    return layout.column_bounds(own.join(F.broadcast(layout.spec_columns(spark)), "kind"), F.col("page_width"), ("page_width",))
 
 
 H, HEAD, N = 1400.0, 2, 5
@@ -377,10 +386,13 @@ def merges_match(spark, sf):
 NUMBERS_GOT = [(k, list(v)) for k, v in specs.GRAPH_NUMBERS.items()] + [("sampling_right", list(range(9, 18))), ("kontrol", []), ("kontrol", [1]), ("гр1-8", [1])]
 
 
-@query("WITH own AS (SELECT * FROM (VALUES " + ", ".join(f"({D.q(k)}, {list(specs.GRAPH_NUMBERS.get(k, ()))}::INTEGER[])" for k in specs.KINDS) + ") AS v(kind, own)), got AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {D.q(k)}, {n}::INTEGER[])" for i, (k, n) in enumerate(NUMBERS_GOT)) + ") AS v(i, kind, numbers)) SELECT i, kind, coalesce(own = numbers, false) AS same FROM got LEFT JOIN own USING (kind)")
+@query("WITH own AS (SELECT * FROM (VALUES " + ", ".join(f"({D.q(k)}, {list(specs.GRAPH_NUMBERS.get(k, ()))}::INTEGER[])" for k in specs.KINDS) + ") AS v(kind, own)), made AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {D.q(k)}, {n}::INTEGER[])" for i, (k, n) in enumerate(NUMBERS_GOT)) + f") AS v(i, kind, numbers)), got AS (SELECT c_custkey AS i, kind, CASE WHEN c_custkey % 11 = 0 THEN list_append(numbers, 1) ELSE numbers END AS numbers FROM customer JOIN made ON made.i = c_custkey % {len(NUMBERS_GOT)}) SELECT i, kind, coalesce(own = numbers, false) AS same FROM got LEFT JOIN own USING (kind)")
 def graph_numbers_match(spark, sf):
-    got = spark.createDataFrame([(i, *x) for i, x in enumerate(NUMBERS_GOT)], "i int, kind string, numbers array<int>")
-    return score.numbers_match(got).drop("numbers")
+    """Column numbers of a truth row for each customer, every eleventh with a number too many."""
+    made = spark.createDataFrame([(i, *x) for i, x in enumerate(NUMBERS_GOT)], "turn long, kind string, numbers array<int>")
+    c = L.table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), (F.col("c_custkey") % len(NUMBERS_GOT)).alias("turn"))
+    got = c.join(F.broadcast(made), "turn").withColumn("numbers", F.when(F.col("i") % 11 == 0, F.array_append("numbers", 1)).otherwise(F.col("numbers")))
+    return score.numbers_match(got).select("i", "kind", "same")
 
 
 KIND_KEYS = [(k, i, len(specs.leaves(k)), w) for i, k in enumerate(specs.KINDS) for w in specs.KEYWORDS[k]]
@@ -644,9 +656,11 @@ def stream_row_sessions(spark, sf):
 # Sheets, bands and replies
 
 
-@query("SELECT * FROM " + D.values(_header_rows(), HEADER_NAMES))
+@query(f"SELECT s_suppkey AS sheet, h.* FROM supplier JOIN (SELECT * FROM {D.values(_header_rows(), HEADER_NAMES)}) AS h ON h.kind = {kind_sql('s_suppkey')}")
 def sheet_header_merges(spark, sf):
-    return sheets.header_cells(spark)
+    """The header of a sheet for each supplier, of any kind."""
+    own = L.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sheet"), kind_of("s_suppkey"))
+    return own.join(F.broadcast(sheets.header_cells(spark)), "kind")
 
 
 @query(f"""WITH {L.ENGINES}, d AS (SELECT 's' || CAST(table_id AS VARCHAR) AS sheet, r, c, max(q) AS text, min(y_conf) AS conf FROM engines GROUP BY table_id, r, c),
@@ -695,9 +709,12 @@ def box_area(spark, sf):
     return L.table(spark, sf, "events").select("event_id", annotation.measures(box).alias("m")).select("event_id", "m.*")
 
 
-@query(f"SELECT kind, ci, coalesce(group_label || ' — ', '') || label AS label, count(*) OVER (PARTITION BY kind) AS ncols, CAST(sum(width) OVER (PARTITION BY kind) AS BIGINT) AS width FROM {SPEC_COLUMNS}")
+@query(f"""WITH l AS (SELECT kind, ci, coalesce(group_label || ' — ', '') || label AS label, count(*) OVER (PARTITION BY kind) AS ncols, CAST(sum(width) OVER (PARTITION BY kind) AS BIGINT) AS width FROM {SPEC_COLUMNS})
+SELECT c_custkey AS table_id, l.* FROM customer JOIN l ON kind = {kind_sql('c_custkey')}""")
 def leaf_labels(spark, sf):
-    return layout.leaf_labels(layout.spec_columns(spark))
+    """The labels of a table's columns, a table for each customer."""
+    own = L.table(spark, sf, "customer").select(F.col("c_custkey").alias("table_id"), kind_of("c_custkey"))
+    return own.join(F.broadcast(layout.leaf_labels(layout.spec_columns(spark))), "kind")
 
 
 @query(f"""WITH l AS (SELECT event_id // 6 AS table_id, event_id // 3 % 2 AS r, 0 AS c, event_id % 3 AS line, event_type AS text, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id % 100) / 100 END AS conf FROM events)
