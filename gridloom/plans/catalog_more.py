@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import annotation, score, tables
+from gridloom.operators import annotation, rules, score, tables
 from gridloom.plans import duck as D
 from gridloom.plans import lenses as L
 from gridloom.plans.catalog import CLUSTERS, query
@@ -126,3 +126,35 @@ def second_readings(spark, sf):
     said = F.when(r % 6 == 5, F.col("o_orderpriority")).otherwise(F.get(F.array(*map(F.lit, AGAIN)), (r % 5).cast("int")))
     again = places.select(*on, said.alias("text"), F.when(r % 7 > 0, F.round(r % 100 / 100, 2)).alias("conf"))
     return tables.retried(tables.inky_blanks(places.drop("o_orderpriority"), cells, ink), again).select(*on, "text", "conf", "needs_review")
+
+
+DARK, RULE, NEAR = 118, 3, 1
+PIXELS = f"{L.TILES}, px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, tile[i + 1] < {DARK} AS dark FROM tiles, range(64) AS t(i))"
+
+
+def _dark_runs(spark, sf, column=False):
+    tile = rules.turned(F.col("tile"), 8, 8) if column else F.col("tile")
+    return rules.runs(L.tiles(spark, sf), ["vec_id"], tile, 8, lambda v: v < DARK)
+
+
+@query(f"""WITH {PIXELS}, s AS (SELECT vec_id, 'h' AS side, y AS line, x AS place, dark FROM px UNION ALL SELECT vec_id, 'v', x, y, dark FROM px),
+e AS (SELECT *, dark AND coalesce(lag(dark) OVER w, true) AND coalesce(lead(dark) OVER w, true) AS core FROM s WINDOW w AS (PARTITION BY vec_id, side, line ORDER BY place)),
+o AS (SELECT *, core OR coalesce(lag(core) OVER w, false) OR coalesce(lead(core) OVER w, false) AS kept FROM e WINDOW w AS (PARTITION BY vec_id, side, line ORDER BY place)),
+f AS (SELECT vec_id, side, line FROM o WHERE kept GROUP BY ALL HAVING count(*) >= {RULE}),
+g AS (SELECT *, CASE WHEN line - lag(line) OVER w > {NEAR} THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY vec_id, side ORDER BY line)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY vec_id, side ORDER BY line) AS i FROM g)
+SELECT vec_id, side, CAST(i AS INTEGER) AS i, CAST(min(line) AS INTEGER) AS first, CAST(max(line) AS INTEGER) AS last, CAST(sum(line) // count(*) AS INTEGER) AS middle, count(*) AS thickness FROM n GROUP BY vec_id, side, i""")
+def rule_lines(spark, sf):
+    """Ruled lines both ways, of dark runs of three pixels or more; neighbouring lines are one."""
+    each = [_dark_runs(spark, sf, column).select(F.lit(side).alias("side"), "*") for side, column in (("h", False), ("v", True))]
+    keys = ["vec_id", "side"]
+    return rules.lines(rules.opened(each[0].unionByName(each[1]), 3, 8), keys, RULE, NEAR)
+
+
+@query(f"""WITH RECURSIVE {PIXELS}, d AS (SELECT vec_id, y, x FROM px WHERE dark),
+reach AS (SELECT vec_id, y, x, y * 8 + x AS root FROM d UNION SELECT d.vec_id, d.y, d.x, r.root FROM reach AS r JOIN d ON d.vec_id = r.vec_id AND abs(d.y - r.y) <= 1 AND abs(d.x - r.x) <= 1),
+lab AS (SELECT vec_id, y, x, min(root) AS root FROM reach GROUP BY ALL), box AS (SELECT vec_id, root, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS pixels FROM lab GROUP BY vec_id, root)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY y, x, root) - 1 AS INTEGER) AS i, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h, pixels FROM box""")
+def ink_regions(spark, sf):
+    """What hangs together in each tile, from the top and then from the left."""
+    return rules.regions(_dark_runs(spark, sf), ["vec_id"])
