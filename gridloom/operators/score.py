@@ -25,11 +25,20 @@ def judged(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*on, (X.strict(F.col("text")) == X.strict(got)).alias("strict"), (X.fuzzy(F.col("text")) == X.fuzzy(got)).alias("fuzzy"), fixed.alias("fixed"))
 
 
+def counted(hits: DataFrame, by: list[str]) -> DataFrame:
+    """(by, total, n_strict, n_fuzzy): hits summed once, so that figures of several groupings share the work before."""
+    return hits.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if("strict").alias("n_strict"), F.count_if("fuzzy").alias("n_fuzzy"))
+
+
+def shares(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Totals and shares of `counted` for each group and over all (null group)."""
+    out = sums.rollup(*by).agg(*[F.sum(c).alias(c) for c in ("total", "n_strict", "n_fuzzy")])
+    return out.withColumns({"strict_share": F.col("n_strict") / F.col("total"), "fuzzy_share": F.col("n_fuzzy") / F.col("total")})
+
+
 def accuracy(hits: DataFrame, by: list[str]) -> DataFrame:
     """Totals and shares for each group and over all (null group), in one pass."""
-    aggs = [F.count(F.lit(1)).alias("total"), F.count_if("strict").alias("n_strict"), F.count_if("fuzzy").alias("n_fuzzy")]
-    out = hits.rollup(*by).agg(*aggs)
-    return out.withColumns({"strict_share": F.col("n_strict") / F.col("total"), "fuzzy_share": F.col("n_fuzzy") / F.col("total")})
+    return shares(counted(hits, by), by)
 
 
 def row_counts(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,11 +129,12 @@ def report(truth: DataFrame, cells: DataFrame, tables: DataFrame, merges: DataFr
     """
     wanted = truth_cells(truth)
     hits = judged(wanted, of_borehole(cells, truth.select(F.coalesce("borehole", F.lit("")).alias("borehole"))), ["borehole"])
+    sums = counted(hits, ["borehole", "kind", "fixed"])
     named = truth.select(F.coalesce("borehole", F.lit("")).alias("borehole"))
     n = truth_rows(truth).join(of_borehole(tables, named).select("borehole", "kind", "n_rows"), ["borehole", "kind"], "left")
     return {
-        "accuracy": accuracy(hits, ["borehole", "kind"]),
-        "buckets": accuracy(hits, ["fixed"]),
+        "accuracy": shares(sums, ["borehole", "kind"]),
+        "buckets": shares(sums, ["fixed"]),
         "rows": n.select("borehole", "kind", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "truth_rows"),
         "merges": merges_match(truth_merges(truth), of_borehole(merges, named)),
         "numbers": numbers_match(truth_numbers(truth)),

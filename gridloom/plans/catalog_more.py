@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from gridloom.operators import annotation, rules, score, tables
 from gridloom.plans import duck as D
 from gridloom.plans import lenses as L
-from gridloom.plans.catalog import CLUSTERS, query
-from gridloom.plans.catalog_files import FILES, SHEET, lens, result
+from gridloom.plans import specs
+from gridloom.plans.catalog import CLUSTERS, HEADER_NAMES, LABEL_ROWS, _header_rows, query
+from gridloom.plans.catalog_files import FILES, FILLED, SAMPLING, SHEET, lens, result
+from gridloom.sinks import sheets
 from gridloom.sources import pages
 from gridloom.streaming import sessions
 
@@ -158,3 +160,35 @@ SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY y, x, root)
 def ink_regions(spark, sf):
     """What hangs together in each tile, from the top and then from the left."""
     return rules.regions(_dark_runs(spark, sf), ["vec_id"])
+
+
+TABLE_KINDS = D.values([(k, len(specs.leaves(k)), specs.HEADER_ROWS[k] + (k in specs.GRAPH_NUMBERS), k in specs.ROW_LABELS) for k in specs.KINDS], "k(kind, n_columns, high, by_label)")
+TITLES_OF = D.values([(k, v) for k, v in specs.FORM_TITLES.items()], "f(kind, title)")
+HEADS = D.values([(i, x) for i, x in enumerate(specs.FORM_HEADER)], "h(c, label)")
+
+
+@query(f"""WITH {FILES}, dg AS (SELECT *, {D.digits('text')} AS d FROM cells), facing AS (SELECT table_id, r, list(DISTINCT d) AS others FROM dg WHERE {SAMPLING} AND c IN (7, 8, 9) AND d <> '' GROUP BY table_id, r),
+shown AS (SELECT dg.table_id, kind, dg.r, c, conf, CASE WHEN {SAMPLING} AND c IN (4, 5, 6) AND length(d) >= 2 AND len(list_filter(coalesce(others, []), lambda x: contains(x, d) OR contains(d, x))) > 0 THEN '' ELSE text END AS text FROM dg LEFT JOIN facing USING (table_id, r)),
+above AS (SELECT *, last_value(CASE WHEN NOT {D.ditto('text')} AND {D.strict('text')} <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY table_id, c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM shown),
+x AS (SELECT table_id, r, c, text, CASE WHEN conf < 0.55 THEN 'orange' WHEN {D.ditto('text')} AND last IS NOT NULL THEN 'yellow' END AS fill FROM above),
+named AS (SELECT o.doc_id, o.table_id, o.kind, o.page // 2 AS spread, 'скв' || hole || '_' || {SHEET.replace('kind', 'o.kind')} AS sheet FROM o JOIN holes ON holes.doc_id = o.doc_id AND holes.spread = o.page // 2),
+n AS (SELECT table_id, count(*) AS n_rows FROM every GROUP BY table_id), sized AS (SELECT named.*, n_columns, high, by_label, coalesce(n_rows, 0) AS n_rows FROM named JOIN {TABLE_KINDS} USING (kind) LEFT JOIN n USING (table_id)),
+printed AS (SELECT sized.*, a.r AS r, b.c FROM sized, generate_series(0, n_rows + {sheets.BLANK_ROWS} - 1) AS a(r), generate_series(0, n_columns - 1) AS b(c) WHERE NOT by_label),
+head AS (SELECT table_id FROM x WHERE r = 0 AND c = 0 AND {D.strict('text')} <> '' AND NOT regexp_matches({D.strict('text')}, '^[{D.DIGIT}]+$')),
+free AS (SELECT p.*, p.table_id IN (SELECT table_id FROM head) AS up, coalesce(x.text, '') AS text, fill FROM printed AS p LEFT JOIN x USING (table_id, r, c)),
+label AS (SELECT sized.*, l.r, l.label, l.unit, b.c FROM sized JOIN {D.values(LABEL_ROWS, 'l(kind, r, label, unit)')} USING (kind), generate_series(0, n_columns - 1) AS b(c)),
+filled AS (SELECT l.*, CASE WHEN l.c = 0 THEN label WHEN l.c = 1 AND unit <> '' THEN unit WHEN f.c IS NOT NULL THEN coalesce(x.text, '') ELSE '' END AS text, CASE WHEN l.c = 0 OR (l.c = 1 AND unit <> '') THEN 'label' WHEN f.c IS NOT NULL AND fill = 'orange' THEN fill END AS fill
+  FROM label AS l LEFT JOIN x ON x.table_id = l.table_id AND x.r = l.r AND x.c = l.c LEFT JOIN {FILLED} ON f.kind = l.kind AND f.c = l.c WHERE NOT (l.kind = 'podschet' AND l.c = 4)),
+asking AS (SELECT doc_id, spread, kind, ord, key, value, low FROM fields UNION ALL SELECT h.doc_id, h.spread, 'form_journal', {len(specs.JOURNAL_FIELDS)}, {D.q(specs.HINT_FIELD)}, hint, mismatch FROM hints AS h JOIN named ON named.doc_id = h.doc_id AND named.spread = h.spread AND kind = 'form_journal'),
+forms AS (SELECT * FROM named JOIN {TITLES_OF} USING (kind)),
+entry AS (SELECT forms.doc_id, sheet, kind, ord, key, value, low FROM forms JOIN asking USING (doc_id, spread, kind)),
+every_cell AS (SELECT doc_id, sheet, kind, r - up::INTEGER + high AS r, c, 1 AS rs, 1 AS cs, text, fill, false AS upright FROM free WHERE NOT (up AND r = 0)
+  UNION ALL SELECT doc_id, sheet, kind, r + high, c, 1, 1, text, fill, false FROM filled
+  UNION ALL SELECT doc_id, sheet, kind, h.r, h.c, CASE WHEN kind = 'podschet' AND h.c = 4 THEN 7 ELSE h.rs END, h.cs, h.text, NULL, h.upright FROM sized JOIN {D.values(_header_rows(), HEADER_NAMES)} USING (kind)
+  UNION ALL SELECT doc_id, sheet, kind, 0, 0, 1, 1, title, NULL, false FROM forms
+  UNION ALL SELECT doc_id, sheet, kind, 2, c, 1, 1, label, 'head', false FROM forms, {HEADS}
+  UNION ALL SELECT doc_id, sheet, kind, ord + 3, c, 1, 1, CASE c WHEN 0 THEN key WHEN 1 THEN value ELSE 'layout' END, CASE WHEN c = 1 AND low THEN 'review' END, false FROM entry, range(3) AS t(c))
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, sheet, kind, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, CAST(rs AS INTEGER) AS rs, CAST(cs AS INTEGER) AS cs, text, fill, upright FROM every_cell""")
+def whole_sheets(spark, sf):
+    """Every cell of every sheet of every file: headers, numbers, labels, units, values with their fills, blank rows, signatures and forms."""
+    return sheets.whole(result(spark, sf))
