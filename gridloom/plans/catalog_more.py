@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.functions import text as X
 from gridloom.operators import annotation, rules, score, tables
+from gridloom.plans import boreholes, process
 from gridloom.plans import duck as D
 from gridloom.plans import lenses as L
 from gridloom.plans import specs
 from gridloom.plans.catalog import CLUSTERS, HEADER_NAMES, LABEL_ROWS, _header_rows, query
-from gridloom.plans.catalog_files import FILES, FILLED, SAMPLING, SHEET, lens, result
+from gridloom.plans.catalog_files import FIELDS, FILES, FILLED, SAMPLING, SHEET, lens, result
 from gridloom.sinks import sheets
 from gridloom.sources import pages
 from gridloom.streaming import sessions
@@ -192,3 +194,17 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, sheet, kind, CAST(r AS INTEGER) AS r,
 def whole_sheets(spark, sf):
     """Every cell of every sheet of every file: headers, numbers, labels, units, values with their fills, blank rows, signatures and forms."""
     return sheets.whole(result(spark, sf))
+
+
+OBJECTS_OF = FILES.partition(",\nholes AS")[0]  # the first tables of FILES
+ASKED = f"""own AS (SELECT *, CASE WHEN "group" IS NULL THEN label ELSE "group" || ' — ' || label END AS named FROM {D.values([(k, i, label, group) for k, i, label, group, _, _ in specs.column_rows()], 's(kind, ci, label, "group")')}),
+t AS (SELECT kind, 'Columns, in order: ' || string_agg(named, '; ' ORDER BY ci) || '. Reply with JSON {{"rows": [[...]], "low_conf": [[row, column], ...]}} and ' || count(*) || ' texts in each row.' AS prompt FROM own GROUP BY kind),
+f AS (SELECT form, 'Form: ' || title || '. Fields: ' || string_agg(key, '; ' ORDER BY ord) || '. Reply with JSON {{"fields": {{name: text}}, "low_conf": [name, ...]}}, an empty text for an empty field.' AS prompt FROM {FIELDS} JOIN {TITLES_OF.replace('f(kind', 'x(kind')} ON x.kind = form GROUP BY form, title)"""
+
+
+@query(f"""WITH {OBJECTS_OF}, {ASKED} SELECT table_id, coalesce(t.prompt, f.prompt) AS prompt FROM o LEFT JOIN t USING (kind) LEFT JOIN f ON form = kind""")
+def prompts(spark, sf):
+    """What a layout engine is asked for each object of each file."""
+    found = boreholes.routed(lens(spark, sf)["objects"])
+    asked = {**{k: process.prompt(k) for k in specs.KINDS}, **{f: process.form_prompt(f) for f in specs.FORMS}}
+    return found.where("route in ('table', 'form')").select("table_id", F.try_element_at(X.literal_map(asked), F.col("kind")).alias("prompt"))
