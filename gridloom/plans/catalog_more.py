@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as X
-from gridloom.operators import annotation, rules, score, tables
+from gridloom.operators import annotation, inventory, rules, score, tables
 from gridloom.plans import boreholes, process
 from gridloom.plans import duck as D
 from gridloom.plans import lenses as L
 from gridloom.plans import specs
-from gridloom.plans.catalog import CLUSTERS, HEADER_NAMES, LABEL_ROWS, _header_rows, query
+from gridloom.plans.catalog import CLUSTERS, HEADER_NAMES, LABEL_ROWS, MAIN, OBJECTS, _header_rows, query
 from gridloom.plans.catalog_files import FIELDS, FILES, FILLED, SAMPLING, SHEET, lens, result
 from gridloom.sinks import sheets
 from gridloom.sources import pages
@@ -208,3 +208,25 @@ def prompts(spark, sf):
     found = boreholes.routed(lens(spark, sf)["objects"])
     asked = {**{k: process.prompt(k) for k in specs.KINDS}, **{f: process.form_prompt(f) for f in specs.FORMS}}
     return found.where("route in ('table', 'form')").select("table_id", F.try_element_at(X.literal_map(asked), F.col("kind")).alias("prompt"))
+
+
+def _halves(spark, sf):
+    """Half pages of files of four, with synthetic boxes, as `images.halves` gives them."""
+    k, box = F.col("page_id"), F.struct("x", "y", "w", "h", "v_rules")
+    boxes = L.boxes(spark, sf).groupBy("page_id", "side", "width", "height").agg(F.collect_list(box).alias("boxes"))
+    path = F.concat(F.lit("f"), F.floor(k / 4).cast("string")).alias("path")
+    return boxes.select(path, (k % 4).cast("int").alias("page"), "side", "width", "height", (k % 200 / 8 - 12).alias("deskew"), (k % 30).cast("int").alias("h_lines"), (k % 17).cast("int").alias("v_lines"), "boxes")
+
+
+@query(f"""WITH {MAIN}, {OBJECTS}, listed AS (SELECT 'f' || page_id // 4 AS path, page_id, kind FROM objects), sums AS (SELECT path, count(*) AS n, count(DISTINCT page_id) AS pages FROM listed GROUP BY path), kinds AS (SELECT path, kind, count(*) AS n FROM listed GROUP BY path, kind)
+SELECT path, CAST(i AS INTEGER) AS n, ['file: ' || path, 'pages: ' || pages, 'objects: ' || n, '', 'by kind:'][i + 1] AS line FROM sums, range(5) AS r(i)
+UNION ALL SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY kind) + 4 AS INTEGER), '  ' || kind || repeat(' ', greatest(0, 16 - length(kind))) || ' ' || n FROM kinds""")
+def inventory_report(spark, sf):
+    """From boxes on half pages to each file's summary of objects, as lines."""
+    return inventory.report(inventory.of_halves(_halves(spark, sf)))
+
+
+@query("""SELECT 'f' || page_id // 4 AS path, CAST(page_id % 4 + 1 AS INTEGER) AS page, CASE WHEN page_id % 2 = 0 THEN 'L' ELSE 'R' END AS side, round_even(page_id % 200 / 8 - 12, 2) AS deskew_deg, CAST(page_id % 30 AS INTEGER) AS h_lines, CAST(page_id % 17 AS INTEGER) AS v_lines, 1000 AS w, 1400 AS h,
+'p0' || (page_id % 4 + 1) || '_' || CASE WHEN page_id % 2 = 0 THEN 'L' ELSE 'R' END || '_enhanced.png' AS enhanced FROM pages""")
+def half_page_manifest(spark, sf):
+    return inventory.manifest(_halves(spark, sf))
