@@ -23,15 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a Parquet table. Unlike a checkpoint it carries no predicates of the plans before, which multiply from round to round; it goes when the driver ends."""
-    spark = df.sparkSession
+def place(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_folder(spark)}/rounds/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _WRITTEN:
         atexit.register(_delete)
     _WRITTEN[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a Parquet table. Unlike a checkpoint it carries no predicates of the plans before, which multiply from round to round; it goes when the driver ends."""
+    path = place(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _delete() -> None:

@@ -35,12 +35,13 @@ class Result:
     boreholes: DataFrame  # doc_id, spread, position, hole, hint, mismatch, first_page, last_page, n_objects, n_sheets
     documents: DataFrame  # doc_id, n_boreholes, n_sheets, n_cells, n_review, n_mismatch
 
-    def stored(self, path: str) -> Result:
-        """The same, written to a folder as Parquet and read again, so that what follows doesn't compute it anew; cells first, from which others come."""
+    def stored(self, path: str, parts: tuple[str, ...] | None = None) -> Result:
+        """The same, with these parts (all) written to a folder as Parquet and read again, so that what follows doesn't compute them anew; cells first, from which others come."""
         spark = self.cells.sparkSession
-        for name in PARTS:
+        parts = PARTS if parts is None else parts
+        for name in parts:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return Result(**{name: spark.read.parquet(f"{path}/{name}") for name in PARTS})
+        return Result(**{name: spark.read.parquet(f"{path}/{name}") if name in parts else getattr(self, name) for name in PARTS})
 
 
 PARTS = ("cells", "tables", "fields", "meta", "boreholes", "documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as X
-from gridloom.operators import annotation, inventory, rules, score, tables
+from gridloom.operators import annotation, inventory, lineage, rules, score, tables
 from gridloom.plans import boreholes, process
 from gridloom.plans import duck as D
 from gridloom.plans import lenses as L
@@ -193,7 +193,7 @@ every_cell AS (SELECT doc_id, sheet, kind, r - up::INTEGER + high AS r, c, 1 AS
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, sheet, kind, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, CAST(rs AS INTEGER) AS rs, CAST(cs AS INTEGER) AS cs, text, fill, upright FROM every_cell""")
 def whole_sheets(spark, sf):
     """Every cell of every sheet of every file: headers, numbers, labels, units, values with their fills, blank rows, signatures and forms."""
-    return sheets.whole(result(spark, sf))
+    return sheets.whole(result(spark, sf).stored(lineage.place(spark), ("cells", "tables", "fields")))
 
 
 OBJECTS_OF = FILES.partition(",\nholes AS")[0]  # the first tables of FILES
