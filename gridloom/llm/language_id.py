@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +104,8 @@ def fit(docs: DataFrame, per_lang: int = 1500, trainable=None, most_rows: int =
     if not langs:
         return None
     each = min(per_lang, max(1, most_rows // len(langs)))
-    shares = docs.sparkSession.createDataFrame([(x, min(1.0, each / n_by[x])) for x in langs], "lang string, share double")
+    shares = {"lang": pa.array(langs, pa.string()), "share": pa.array([min(1.0, each / n_by[x]) for x in langs], pa.float64())}
+    shares = docs.sparkSession.createDataFrame(pa.table(shares))  # a relation in the plan; rows would be read by Python workers of their own on the executors
     place = F.xxhash64("doc_id", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     sample = util.stash(rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("text", "lang"))
 

@@ -179,7 +179,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             runs = [merged(s) if s is not None else [] for s in spans]
             yield pd.DataFrame({"text": [without(t, r) if r else t for t, r in zip(text, runs)], "runs": runs})
 
-    done = joined.withColumn(cut_, F.pandas_udf(cut, "text string, runs array<array<long>>")("text", spans_))
+    once = F.pandas_udf(cut, "text string, runs array<array<long>>").asNondeterministic()  # else a filter on what it returns is pushed below it and runs it again, in a second Python worker of the same task
+    done = joined.withColumn(cut_, once("text", spans_))
     kept = [F.col(cut_)["text"].alias(c) if c.lower() == "text" else col for c, col in zip(docs.columns, util.named(docs.columns))]
     return done.select(*kept, F.col(cut_)["runs"].alias(removed))
 

@@ -22,9 +22,9 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gridloom.llm import util
@@ -171,8 +171,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rows_a_bucket: int = 20_000
     counted = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     slots, _ = plan(counted, capacity)
     ends = np.cumsum([s[2] for s in sorted(slots)]) if slots else []
-    fields = [T.StructField(c, T.LongType()) for c in ("l", "from_rank", "n", "first", "slot_offset")]
-    planned = spark.createDataFrame(sorted(slots), T.StructType(fields))
+    columns = np.array(sorted(slots), dtype=np.int64).reshape(-1, 5).T
+    planned = spark.createDataFrame(pa.table(dict(zip(("l", "from_rank", "n", "first", "slot_offset"), columns))))  # a relation in the plan; rows would be read by Python workers of their own on the executors
     buckets = max(16, int(ends[-1] // rows_a_bucket) + 1) if slots else 1
 
     parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))

@@ -85,6 +85,26 @@ def test_language_decides(spark, tmp_path):
     assert sure == set()
 
 
+def test_one_python_worker_for_a_task(spark, docs, folder):
+    """No text is cut or told twice in a task: each further worker stays in an executor's memory."""
+    from gridloom.llm import language_id, line_dedup
+
+    cut = line_dedup.stage(spark, docs, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.count("ArrowEvalPython") == 1, cut
+    told = language_id.stage(spark, docs, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("ArrowEvalPython") == 1, told
+
+
+@pytest.mark.parametrize("i", [0, 4])
+def test_frames_of_the_driver(spark, folder, monkeypatch, i):
+    """The shares of languages and the plan of slots are relations, not rows that Python workers read."""
+    made, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: made.append(make(*a, **b)) or made[-1])
+    name, stage = corpus_pipeline.STAGES[i]
+    assert stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count() > 20
+    assert len(made) == 1 and "LocalRelation" in made[0]._jdf.queryExecution().optimizedPlan().toString(), name
+
+
 def test_empty(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     write(spark, tmp_path, "benchmark", [], "item_id long, text string")
