@@ -124,10 +124,10 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     schema = "d long, th long, pos array<long>, enough array<long>, most array<long>, r0 array<long>"
     at = util.stash(_sequences(lines).mapInPandas(_limits(min_words), schema).where(F.exists("enough", lambda x: x > 0)))
-    longest, top = at.agg(F.max(F.array_max("most")), F.max(F.array_max("r0"))).first()
+    longest, top, n_lines = at.agg(F.max(F.array_max("most")), F.max(F.array_max("r0")), F.sum(F.size("pos"))).first()
     levels = max(0, int(longest or 0).bit_length() - 1)
     for k in range(levels):
-        at = util.stash(_double(at, k, top), instead_of=[at])
+        at = util.stash(_double(at, k, top).coalesce(util.files(at.sparkSession, n_lines)), instead_of=[at])
 
     def prefixes(batches):
         """For each suffix that is long enough and each length to compare: the interval's name."""
@@ -186,10 +186,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = dedup(util.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = util.table(spark, sf_dir, "documents")
+    docs = dedup(documents.select("doc_id", "text"))
     n_removed = F.aggregate("removed_lines", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
     runs = F.array_join(F.transform("removed_lines", lambda x: F.concat_ws(":", x[0].cast("string"), x[1].cast("string"))), ",")
-    return docs.select("doc_id", n_removed.alias("n_removed"), runs.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    digests = docs.select("doc_id", n_removed.alias("n_removed"), runs.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return digests.repartition(util.files(spark, documents.count()))  # small rows, dealt anew: not a file for each partition of the texts
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

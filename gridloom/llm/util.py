@@ -41,6 +41,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, "1000")
 
 
+A_FILE = 100_000
+
+
+def files(spark: SparkSession, n: int) -> int:
+    """How many files to write n rows or array elements to, of a hundred bytes or so each: as many as they fill, and one for each core at least.
+
+    Hadoop's local file system starts a chmod for each file, checksum and folder of a task. Until such a child runs its own program, it shows the memory of the
+    executor's JVM once more, and what adds up an executor's processes counts it twice; so there is no file for each shuffle partition.
+    """
+    return max(spark.sparkContext.defaultParallelism, n // A_FILE)
+
+
 def stash(df: DataFrame, instead_of: Iterable[DataFrame] = (), by: str | None = None) -> DataFrame:
     """Cuts the lineage of df by a Parquet table in the shared folder, which outlives lost executors.
 

@@ -56,6 +56,35 @@ def test_lines_of_nothing(nothing):
     assert line_dedup.dedup(nothing).count() == 0
 
 
+def test_files_of_lines(spark, folder, tmp_path, monkeypatch):
+    """Rounds and results are written to files by size, not by shuffle partitions: each file has an executor start children, which show the JVM's memory once more."""
+    from gridloom.llm import util
+
+    settings = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rounds, stash = [], util.stash
+    monkeypatch.setattr(util, "stash", lambda *a, **b: (out := stash(*a, **b), rounds.append(len(out.inputFiles())))[0])
+
+    def written(at):
+        line_dedup.op1_line_dedup(spark, folder).write.parquet(f"{tmp_path}/{at}")
+        return sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{at}").collect()), key=str), len(list((tmp_path / at).glob("part-*")))
+
+    want, _ = written("few")
+    rounds.clear()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got, n = written("many")
+        most = spark.sparkContext.defaultParallelism
+        assert got == want and n <= most and len(rounds) > 2 and max(rounds[1:]) <= most, (n, rounds)
+        monkeypatch.setattr(util, "A_FILE", 5)  # more rows, more files
+        got, n = written("more")
+        assert got == want and n > most and max(rounds) > most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def passages(texts, width=250, words=50):
     """How many maximal runs of bytes under windows that occur twice have so many words."""
     raw = [(t or "").encode() for t in texts]
