@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,13 +18,14 @@ OBJECT = f"struct<kind:string,box:{BOX},conf:double>"
 
 
 def regions(boxes: DataFrame, min_area: float = 0.015) -> DataFrame:
-    """Boxes (x, y, w, h on a page of width, height) large enough to be an object."""
-    return boxes.where((F.col("w") * F.col("h") >= F.lit(min_area) * F.col("height") * F.col("width")) & (F.col("w") >= 0.12 * F.col("width")) & (F.col("h") >= 0.03 * F.col("height")))
+    """Boxes (x, y, w, h on a page of width, height) large enough to be an object. Shares are decimals here: in doubles 0.55 of 1,400 is more than 770."""
+    large = F.col("w") * F.col("h") >= F.lit(Decimal(str(min_area))) * F.col("height") * F.col("width")
+    return boxes.where(large & F.expr("w >= 0.12 * width and h >= 0.03 * height"))
 
 
 def main_table(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, main): the largest region that is tall and wide enough and has at least four vertical rules."""
-    fit = boxes.where((F.col("h") >= 0.55 * F.col("height")) & (F.col("w") >= 0.40 * F.col("width")) & (F.col("v_rules") >= 4))
+    fit = boxes.where("h >= 0.55 * height and w >= 0.40 * width and v_rules >= 4")
     box = F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1")).cast(BOX)
     return fit.groupBy(*keys).agg(F.max_by(box, F.struct((F.col("w") * F.col("h")).alias("a"), -F.col("y"), -F.col("x"))).alias("main"))
 
