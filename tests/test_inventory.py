@@ -22,7 +22,7 @@ def test_sides_of_just_the_share(spark):
     assert {r["id"] for r in inventory.main_table(found, ["id"]).collect()} == {100 * s for s in sides}
 
 
-@pytest.mark.parametrize("name", ["region_filter_pick_main", "object_locator", "inventory_counts", "inventory_report"])
+@pytest.mark.parametrize("name", ["region_filter_pick_main", "object_locator", "inventory_counts", "inventory_report", "sheet_name_unique"])
 def test_query_of_just_the_share(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"COPY (SELECT unnest({PAGES})::BIGINT AS page_id, 'u' AS url, '' AS html) TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
